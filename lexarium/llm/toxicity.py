@@ -12,7 +12,9 @@ The character model is counted over all documents. The lexicon is learned from
 at most ``FIT_ROWS`` labelled documents (those with the least hashes of their
 ids): a term must occur after many different words in toxic documents and
 practically never in clean ones, so that copies of one document, or a rare
-word, teach nothing.
+word, teach nothing. A word beginning that clean documents have now and then
+counts only where two different words of a document begin with it, if that is
+practically never so in clean ones.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ FIT_ROWS = 10_000
 MIN_CONTEXTS = 12
 MIN_SPREAD = 0.1
 PURITY = 0.98
+PAIR_PURITY, MIN_PAIR_DOCS = 0.95, 10
 MIN_PREFIX, MAX_PREFIX, MIN_FORMS = 4, 9, 5
-THRESHOLD = 3.0
+THRESHOLD = 2.5
 #: Known before any label is seen.
 SEED = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "trash", "loser", "clown")
 
@@ -88,25 +91,29 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, dict[str, float]]:
-    """{"word": {word: weight}, "prefix": {beginning: weight}}: weights are log odds of toxic against clean use."""
+    """{"word": {word: weight}, "prefix": {beginning: weight}, "pair": {beginning: weight}}: weights are log odds of toxic against clean use."""
     sample = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1).alias("w"))
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1).alias("w"))
     pairs = found.select("toxic", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("w", i - 1)).alias("prev")))).alias("x")).filter(F.length("x.w") >= 3)
     words = pairs.groupBy("x.w", "x.prev").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n")).groupBy("w").agg(F.count_if(F.col("t") > 0).alias("ctx"), F.sum("t").alias("t"), F.sum("n").alias("n"))
     forms = words.select("*", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("size"), F.col("w").alias("term"))), F.transform(F.sequence(F.lit(MIN_PREFIX), F.lit(MAX_PREFIX)), lambda k: F.struct(k.alias("size"), F.when(F.length("w") > k, F.substring(F.col("w"), F.lit(1), k)).alias("term"))))).alias("f")).filter("f.term is not null")
     terms = forms.groupBy((F.col("f.size") > 0).alias("prefix"), "f.term").agg(F.sum("ctx").alias("ctx"), F.sum("t").alias("t"), F.sum("n").alias("n"), F.count_if(F.col("ctx") > 0).alias("forms"))
-    picked = terms.filter((F.col("ctx") >= MIN_CONTEXTS) & (F.col("ctx") >= MIN_SPREAD * F.col("t")) & (F.col("t") >= PURITY * (F.col("t") + F.col("n"))) & (~F.col("prefix") | (F.col("forms") >= MIN_FORMS)))
-    out: dict[str, dict[str, float]] = {"word": dict.fromkeys(SEED, 6.0), "prefix": {}}
-    rows = {(r["prefix"], r["term"]): r for r in picked.collect()}  # bounded by the sample
-    longer = {}
-    for (prefix, term), r in rows.items():
-        if prefix and len(term) > MIN_PREFIX:
-            longer[term[:-1]] = max(longer.get(term[:-1], 0), r["ctx"])
-    for (prefix, term), r in rows.items():
-        weight = math.log((r["t"] + 0.5) / (r["n"] + 0.5))
-        if prefix and longer.get(term, 0) >= 0.95 * r["ctx"]:
-            continue  # a longer beginning says as much
-        out["prefix" if prefix else "word"].setdefault(term, weight)
+    known = terms.filter((F.col("ctx") >= MIN_CONTEXTS) & (F.col("ctx") >= MIN_SPREAD * F.col("t")) & (~F.col("prefix") | (F.col("forms") >= MIN_FORMS)))
+    pure = F.col("t") >= PURITY * (F.col("t") + F.col("n"))
+    began = found.select("doc_id", "toxic", F.explode(F.array_distinct("w")).alias("w")).select("doc_id", "toxic", F.explode(F.transform(F.sequence(F.lit(MIN_PREFIX), F.lit(MAX_PREFIX)), lambda k: F.when(F.length("w") > k, F.substring(F.col("w"), F.lit(1), k)))).alias("term"))
+    mixed = known.filter(F.col("prefix") & ~pure & (F.col("t") >= F.col("n")))
+    twice = began.join(mixed, "term").groupBy("term", "ctx", "doc_id", "toxic").count().filter("count > 1").groupBy("term", "ctx").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n"))
+    twice = twice.filter((F.col("t") >= MIN_PAIR_DOCS) & (F.col("t") >= PAIR_PURITY * (F.col("t") + F.col("n"))))
+    out: dict[str, dict[str, float]] = {"word": dict.fromkeys(SEED, 6.0), "prefix": {}, "pair": {}}
+    kind = F.when(F.col("prefix"), "prefix").otherwise("word").alias("kind")
+    rows = known.filter(pure).select(kind, "term", "ctx", "t", "n").union(twice.select(F.lit("pair"), "term", "ctx", "t", "n")).collect()  # bounded by the sample
+    longer: dict[tuple[str, str], float] = {}
+    for r in rows:
+        if r["kind"] != "word" and len(r["term"]) > MIN_PREFIX:
+            longer[r["kind"], r["term"][:-1]] = max(longer.get((r["kind"], r["term"][:-1]), 0), r["ctx"])
+    for r in rows:
+        if longer.get((r["kind"], r["term"]), 0) < 0.95 * r["ctx"]:  # else a longer beginning says as much
+            out[r["kind"]].setdefault(r["term"], math.log((r["t"] + 0.5) / (r["n"] + 0.5)))
     return out
 
 
@@ -191,18 +198,19 @@ class Scorer:
     """score, hits and restored spans of an Arrow array of texts."""
 
     def __init__(self, lexicon: dict[str, dict[str, float]], counts: np.ndarray):
-        self.reader = Reader(counts, [*lexicon["word"], *lexicon["prefix"]])
-        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        groups: dict[int, dict[str, float]] = {0: lexicon["word"]}
-        for term, weight in lexicon["prefix"].items():
-            groups.setdefault(len(term.encode()), {})[term] = weight
-        for size, terms in groups.items():
+        self.reader = Reader(counts, [*lexicon["word"], *lexicon["prefix"], *lexicon["pair"]])
+        self.tables: list[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        groups: dict[tuple[bool, int], dict[str, float]] = {(False, 0): lexicon["word"]}
+        for kind in ("prefix", "pair"):
+            for term, weight in lexicon[kind].items():
+                groups.setdefault((kind == "pair", len(term.encode())), {})[term] = weight
+        for (pair, size), terms in groups.items():
             if terms:
                 hashes = np.array([K.hash_word(t) for t in terms], np.uint64)
                 order = np.argsort(hashes)
                 coarse = np.zeros(1 << 16, bool)
                 coarse[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-                self.tables.append((size, hashes[order], np.array([*terms.values()])[order], coarse))
+                self.tables.append((pair, size, hashes[order], np.array([*terms.values()])[order], coarse))
 
     def __call__(self, column: pa.Array) -> pa.StructArray:
         parts = [self._slice(column.slice(a, b - a)) for a, b in K.slices(column)]
@@ -224,7 +232,7 @@ class Scorer:
         starts, ends, first = K.token_spans(raw, offsets, _WORD_BYTE)
         sums = K.prefix_sums(K.BYTE_CODE[raw])
         owner, term, weight = [], [], []
-        for size, hashes, weights, coarse in self.tables:
+        for pair, size, hashes, weights, coarse in self.tables:
             if size:
                 own = np.flatnonzero(ends - starts > size)
                 h = K.span_hash(sums, starts[own], starts[own] + size)
@@ -234,9 +242,17 @@ class Scorer:
             maybe = np.flatnonzero(coarse[(h & np.uint64(0xFFFF)).astype(np.int64)])
             at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
             ok = hashes[at] == h[maybe]
-            owner.append(np.searchsorted(first, own[maybe[ok]], "right") - 1)
-            term.append(hashes[at[ok]])
-            weight.append(weights[at[ok]])
+            word, at = own[maybe[ok]], at[ok]
+            doc = np.searchsorted(first, word, "right") - 1
+            if pair:
+                seen = np.stack([doc.astype(np.uint64), hashes[at], K.span_hash(sums, starts[word], ends[word])], 1)
+                _, different = np.unique(seen, axis=0, return_index=True) if len(seen) else (None, np.zeros(0, np.int64))
+                _, one, count = np.unique(seen[different, :2], axis=0, return_index=True, return_counts=True) if len(seen) else (None, different, different)
+                chosen = different[one[count > 1]]
+                doc, at = doc[chosen], at[chosen]
+            owner.append(doc)
+            term.append(hashes[at])
+            weight.append(weights[at])
         owner, term, weight = np.concatenate(owner), np.concatenate(term), np.concatenate(weight)
         n = len(column)
         _, distinct = np.unique(np.stack([owner.astype(np.uint64), term], 1), axis=0, return_index=True) if len(owner) else (None, np.zeros(0, np.int64))
