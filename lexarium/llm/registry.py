@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, packing, toxicity
+from . import jaccard, line_dedup, packing, suffix, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
+    "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": jaccard.OP4_SQL,
+    "op8_suffix_array_dedup": suffix.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
