@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, neighbours, packing, quality_model, quality_rules, suffix, toxicity, warc
+from . import jaccard, line_dedup, neighbours, packing, pieces, quality_model, quality_rules, suffix, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_quality_classifier": quality_model.op5_quality_classifier,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_suffix_array_dedup": suffix.op8_suffix_array_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
