@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import stash
+from .store import fresh, stash
 
 MIN_BYTES = 24
 #: Lines of at least so many bytes allow so many edits; shorter ones than the first only equal lines.
@@ -242,6 +242,19 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint, distance bigint")
 
 
+def _duplicates(docs: DataFrame) -> DataFrame:
+    """As :func:`duplicate_lines`, with the id of the line: rows of one doc_id may differ in text."""
+    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    at = _lines(docs).select(_line_id("line"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no")).alias("at"))
+    near = stash(near_lines(docs), "nearlines")
+    first = at.groupBy("id").agg(F.min("at").alias("first"))
+    links = near.select("a", "b").union(near.select("b", "a"))
+    pulled = links.join(first.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first").alias("near"))
+    known = first.join(pulled, "id", "left").select("id", F.least("first", "near").alias("first"))
+    every = at.join(known, "id").filter("at > first")
+    return every.select("at.doc_id", "at.line_no", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line_no").alias("of_line_no"), "id").distinct()
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, line_no, of_doc_id, of_line_no): lines with an earlier line within the threshold, and the earliest such.
 
@@ -252,15 +265,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     doc_id is null are left out. Of rows with equal doc_id and text the lines
     count as one (same position). Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    at = _lines(docs).select(_line_id("line"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no")).alias("at"))
-    near = stash(near_lines(docs), "nearlines")
-    first = at.groupBy("id").agg(F.min("at").alias("first"))
-    links = near.select("a", "b").union(near.select("b", "a"))
-    pulled = links.join(first.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first").alias("near"))
-    known = first.join(pulled, "id", "left").select("id", F.least("first", "near").alias("first"))
-    every = at.join(known, "id").filter("at > first")
-    return every.select("at.doc_id", "at.line_no", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line_no").alias("of_line_no")).distinct()
+    return _duplicates(docs).drop("id").distinct()
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -268,11 +273,13 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
     Columns stay as they are, but for text and n_chars (where there is one).
     """
-    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("bigint"))), "\n")
-    joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    joined = joined.filter(F.col("__gone").isNull() | F.col("text").rlike(r"\S")).drop("__gone")
+    key, marks = fresh(docs, "key"), fresh(docs, "gone")
+    gone = _duplicates(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("line_no", "id")).alias(marks))
+    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left").drop(key)
+    mark = lambda line, i: F.struct(i.cast("bigint").alias("line_no"), _line_id(line))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col(marks), mark(line, i))), "\n")
+    joined = joined.withColumn("text", F.when(F.col(marks).isNull(), F.col("text")).otherwise(kept))
+    joined = joined.filter(F.col(marks).isNull() | F.col("text").isNull() | F.col("text").rlike(r"\S")).drop(marks)
     return joined.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else joined
 
 

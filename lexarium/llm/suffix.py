@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import stash
+from .store import fresh, stash
 
 WINDOW = 50
 GRAM = 16
@@ -203,10 +203,12 @@ def drop_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without their repeated spans; one that loses a span and keeps no token goes.
 
     A span goes with the white space after its tokens. Columns stay as they
-    are, but for text and n_chars (where there is one).
+    are, but for text and n_chars (where there is one). A doc_id stands for one
+    text; rows that share it but not the text are cut by the spans of both.
     """
-    gone = repeated_spans(docs, window).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["__id"], "left").drop("__id")
+    key, marks = fresh(docs, "key"), fresh(docs, "gone")
+    gone = repeated_spans(docs, window).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(marks))
+    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left").drop(key)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -222,8 +224,8 @@ def drop_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(b"".join([*kept, raw[last:]]).decode())
         return pa.array(out, pa.string())
 
-    left = joined.filter(F.col("__gone").isNull() | F.col("text").isNull()).drop("__gone")
-    changed = joined.filter(F.col("__gone").isNotNull() & F.col("text").isNotNull()).withColumn("text", cut("text", "__gone")).drop("__gone").filter(F.col("text").rlike(r"[^ \t\n\f\r]"))
+    left = joined.filter(F.col(marks).isNull() | F.col("text").isNull()).drop(marks)
+    changed = joined.filter(F.col(marks).isNotNull() & F.col("text").isNotNull()).withColumn("text", cut("text", marks)).drop(marks).filter(F.col("text").rlike(r"[^ \t\n\f\r]"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return left.unionByName(changed)
