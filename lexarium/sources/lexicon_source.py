@@ -1,8 +1,11 @@
 """``spark.read.format("lexicon")``: dictionaries of all formats as one table.
 
 Every dictionary is shared out to ``partitions`` tasks by ordinal (by record
-block for MDict). Predicates on ``key`` are tested before an entry becomes a
-row, and those on ``dict_id`` before a file is opened.
+block for MDict). The options ``key``, ``keyPrefix`` and ``dictId`` keep only
+such entries: keys are tested before an entry becomes a row, dictionaries before
+a file is opened. (They are options since Spark 4.1 keeps the filters it pushed
+into a Python source with the relation, so that a second query over the same
+DataFrame would see those of the first.)
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexarium.errors import InvalidFormat, NotFound
 from lexarium.functions.encoding import convert, detect
@@ -39,15 +42,6 @@ def dictionary_id(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _passes(filters: list[Filter], name: str, value: str) -> bool:
-    for f in filters:
-        if f.attribute != (name,):
-            continue
-        if isinstance(f, EqualTo) and value != f.value or isinstance(f, In) and value not in f.value or isinstance(f, StringStartsWith) and not value.startswith(f.value):
-            return False
-    return True
-
-
 def _text(raw: bytes) -> str:
     try:
         return raw.decode("utf-8")
@@ -62,17 +56,10 @@ def _text(raw: bytes) -> str:
 class LexiconReader(DataSourceReader):
     def __init__(self, options: dict[str, str], format_: str | None):
         self.paths = [p for p in options["path"].split(",") if p]
-        self.format = options.get("dictionaryformat", options.get("dictionaryFormat", format_))
+        self.format = options.get("dictionaryformat", format_)
         self.tasks = max(1, int(options.get("partitions", 8)))
         self.strict = options.get("strict", "true").lower() == "true"
-        self.filters: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith)) and f.attribute in (("key",), ("dict_id",)):
-                self.filters.append(f)
-            else:
-                yield f
+        self.key, self.start, self.dict_id = options.get("key"), options.get("keyprefix", ""), options.get("dictid")
 
     def partitions(self) -> list[Slice]:
         out: list[Slice] = []
@@ -86,7 +73,7 @@ class LexiconReader(DataSourceReader):
             else:
                 found = [(p, f) for p, f in scan_directory(path) if self.format in (None, f)]
             for name, kind in found:
-                if not _passes(self.filters, "dict_id", dictionary_id(name)):
+                if self.dict_id not in (None, dictionary_id(name)):
                     continue
                 rows = open_dictionary(name, kind, self.strict).rows()
                 step = max(1, -(-rows // self.tasks))
@@ -98,7 +85,7 @@ class LexiconReader(DataSourceReader):
             return
         rows, weight = [], 0
         for at, key, entry in open_dictionary(partition.path, partition.format, self.strict).entries(partition.start, partition.end):
-            if not _passes(self.filters, "key", key):
+            if self.key not in (None, key) or not key.startswith(self.start):
                 continue
             rows.append({"dict_id": partition.dict_id, "ord": at, "key": key, "entry": entry, "text": _text(entry)})
             weight += len(entry) * 2 + 64
@@ -122,7 +109,7 @@ class LexiconSource(DataSource):
         return LEXICON
 
     def reader(self, schema) -> LexiconReader:
-        return LexiconReader(dict(self.options), self.FORMAT)
+        return LexiconReader({k.lower(): v for k, v in self.options.items()}, self.FORMAT)
 
 
 class StarDictSource(LexiconSource):
@@ -146,10 +133,9 @@ class BglSource(LexiconSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the sources known to a session, with predicates pushed into them."""
+    """Make the sources known to a session."""
     for source in (LexiconSource, StarDictSource, DslSource, ZimSource, MDictSource, BglSource):
         spark.dataSource.register(source)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def load(spark: SparkSession, *paths: str, format: str | None = None, **options) -> DataFrame:

@@ -110,6 +110,7 @@ def test_table(spark, tmp_path):
     assert lexicon_source.scan(spark, str(tmp_path)).count() == 2
     df = lexicon_source.load(spark, str(tmp_path), partitions=2)
     assert df.count() == 8 and df.filter("key = 'beta'").count() == 2 and df.filter("dict_id = 's.ifo'").count() == 4
+    assert lexicon_source.load(spark, str(tmp_path), key="beta", dictId="z.zim").count() == 1 and lexicon_source.load(spark, str(tmp_path), keyPrefix="g").count() == 2 and df.count() == 8
     assert {r["key"]: r["text"] for r in df.filter("dict_id = 'z.zim'").collect()} == {k: v.decode() for k, v in ENTRIES}
     got = {r["path"].rsplit("/", 1)[-1]: r["valid"] for r in lexicon_source.validate(spark, str(tmp_path / "s.ifo"), str(tmp_path / "other.txt")).collect()}
     assert got == {"s.ifo": True, "other.txt": False}
