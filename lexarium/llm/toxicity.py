@@ -3,7 +3,9 @@
 Noisy-channel deobfuscation. A span whose characters may stand for others
 (digits and signs among letters, single letters kept apart, a letter three
 times or more) becomes a lattice: every character offers the letters it may
-mean, a separator or a repeated letter may also be noise, and each choice has
+mean, a separator or a repeated letter may also be noise (or the gap between two
+words; a letter at either end of such a span may be a word of its own), and each
+choice has
 a channel probability. Viterbi decoding under a character trigram model finds
 the most likely reading. All other text has one reading, itself. The restored
 text is scored with a lexicon of words and word beginnings.
@@ -42,8 +44,8 @@ THRESHOLD = 2.5
 SEED = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "trash", "loser", "clown")
 
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-P_LEET, P_SEPARATOR, P_REPEAT, P_LITERAL = math.log(0.3), math.log(0.5), math.log(0.4), math.log(0.05)
-LEXICON_SHARE = 0.2
+P_LEET, P_SEPARATOR, P_REPEAT, P_LITERAL, P_GAP = math.log(0.3), math.log(0.5), math.log(0.4), math.log(0.05), math.log(0.2)
+LEXICON_SHARE = 0.5
 _SYMBOLS = 28
 _OTHER = 27
 _CLASS = np.full(256, _OTHER, np.int64)
@@ -130,6 +132,7 @@ class Reader:
         smooth = lambda c: (c.reshape(shape) + 0.01) / (c.reshape(shape) + 0.01).sum(2, keepdims=True)
         self.logp = np.log((1 - LEXICON_SHARE) * smooth(counts) + LEXICON_SHARE * smooth(own)).tolist()
         self.known: dict[str, str] = {}
+        self.words = set(words)
 
     def read(self, span: str) -> str:
         """The most likely reading of one lower-case span; of equally likely ones the first in order."""
@@ -149,6 +152,9 @@ class Reader:
                     key, value = (p, q, last), (score + P_SEPARATOR, text)
                     if key not in after or value[0] > after[key][0]:
                         after[key] = value
+                    key, value = (q, 0, ch), (score + P_GAP + logp[p][q][0], text + " ")
+                    if key not in after or value[0] > after[key][0]:
+                        after[key] = value
                 if ch == last and "a" <= ch <= "z":
                     key, value = (p, q, last), (score + P_REPEAT, text)
                     if key not in after or value[0] > after[key][0]:
@@ -172,6 +178,12 @@ class Reader:
             nonlocal changed
             span = match.group(0)
             got = self.read(span)
+            if match.group(1) and got not in self.words:
+                # a letter at either end may be a word of its own, if what is left is a word of the lexicon
+                for a, b in ((2, len(span)), (0, len(span) - 2), (2, len(span) - 2)):
+                    if b - a > 4 and (inner := self.read(span[a:b])) in self.words:
+                        got = f"{span[:a]} {inner} {span[b:]}"
+                        break
             changed += got != span
             return got
 
