@@ -2,7 +2,11 @@
 
 ``spark.read.format("warc")`` plans one partition for each group of files of
 about ``partitionBytes``. Predicates on the record type and the other header
-columns are pushed into the reader: it parses a record's header block first,
+columns go into the reader, as the option ``where`` or, with the option
+``pushdown`` "true", from the filters of the query. (Spark 4.1 keeps the filters
+it pushed into a Python source with the relation, and a second query over the
+same DataFrame would see those of the first; so a DataFrame read with
+``pushdown`` is good for one query, and :func:`read_warc` uses ``where``.) It parses a record's header block first,
 and of records that fail only looks for their end (plain files are read on
 after the payload without touching it; a gzip member has to be inflated, but is
 neither kept nor parsed). With ``payload`` "false" no payload is decoded at all.
@@ -10,6 +14,7 @@ neither kept nor parsed). With ``payload`` "false" no payload is decoded at all.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +39,7 @@ _ARROW = pa.schema(
     ]
 )
 _HEADER_OF = {"warc_type": "warc-type", "record_id": "warc-record-id", "date": "warc-date", "target_uri": "warc-target-uri", "content_type": "content-type", "content_length": "content-length"}
+_KINDS = {"startswith": StringStartsWith, "endswith": StringEndsWith, "contains": StringContains, ">": GreaterThan, ">=": GreaterThanOrEqual, "<": LessThan, "<=": LessThanOrEqual}
 _READ = 1 << 20
 _BATCH_BYTES, _BATCH_ROWS = 8 << 20, 4096
 MAX_HEADER = 1 << 20
@@ -209,16 +215,15 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = [p for p in options["path"].split(",") if p]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.partition_bytes = int(options.get("partitionbytes", options.get("partitionBytes", 128 << 20)))
+        self.partition_bytes = int(options.get("partitionbytes", 128 << 20))
         self.filters: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        kinds = (EqualTo, In, StringStartsWith, StringEndsWith, StringContains, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull)
-        for f in filters:
-            if isinstance(f, kinds) and len(f.attribute) == 1 and f.attribute[0] in _HEADER_OF:
-                self.filters.append(f)
+        for column, value in json.loads(options.get("where", "{}")).items():
+            if column not in _HEADER_OF:
+                raise ValueError(f"{column} is no header column")
+            if isinstance(value, dict):
+                self.filters += [_KINDS[kind]((column,), x) for kind, x in value.items()]
             else:
-                yield f
+                self.filters.append(In((column,), tuple(value)) if isinstance(value, list) else EqualTo((column,), value))
 
     def partitions(self) -> list[WarcFiles]:
         found: list[tuple[str, int]] = []
@@ -258,6 +263,16 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+class PushingWarcReader(WarcReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        kinds = (EqualTo, In, IsNotNull, *_KINDS.values())
+        for f in filters:
+            if isinstance(f, kinds) and len(f.attribute) == 1 and f.attribute[0] in _HEADER_OF:
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -267,17 +282,20 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushingWarcReader if options.get("pushdown") == "true" else WarcReader)(options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict | None = None) -> DataFrame:
     """The records under ``path`` (files or folders, parted by commas). Header names are lower-case; what a record lacks is null.
 
-    Bytes that are no record raise :class:`WarcError`; empty files have no rows.
+    ``where`` maps header columns to a value, a list of values or
+    ``{"startswith" | "endswith" | "contains" | ">" | ">=" | "<" | "<=": value}``;
+    a record without the header fails. Bytes that are no record raise
+    :class:`WarcError`; empty files have no rows.
     """
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("where", json.dumps(where or {})).load(path)
 
 
 def _record(kind: str, headers: dict[str, str | None], body: bytes) -> bytes:
@@ -340,7 +358,7 @@ def pages_from(records: DataFrame) -> DataFrame:
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     files = write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"))
-    return pages_from(read_warc(spark, ",".join(files)))
+    return pages_from(read_warc(spark, ",".join(files), where={"warc_type": "response"}))
 
 
 OP2_SQL = "SELECT page_id, url, html FROM pages"
