@@ -171,8 +171,8 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, factor: float = FACTOR, shar
             d = _distances(_matrix(batch.column("v")), pivots)
             reach, mine = np.asarray(batch.column("reach")), np.asarray(batch.column("shard"))
             d = np.maximum(d - radius, (d - d[np.arange(len(d)), mine][:, None]) / 2)
-            d[np.arange(len(d)), mine] = np.inf
-            q, s = np.nonzero(d <= reach[:, None] / factor)
+            visits = (d <= reach[:, None] / factor) & (np.arange(len(pivots)) != mine[:, None]) & np.isfinite(radius)
+            q, s = np.nonzero(visits)
             for at in range(0, len(q), 20_000):
                 rows = batch.take(pa.array(q[at : at + 20_000]))
                 ids = np.asarray(rows.column("vec_id"))
