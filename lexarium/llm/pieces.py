@@ -1,7 +1,7 @@
 """Operator 6: SentencePiece encoding and decoding as a relational lattice.
 
-Texts fall into units no piece crosses: a run of spaces with the word after
-it, and line breaks and tabs by themselves. Only distinct units are encoded:
+Texts fall into units no piece crosses: they are cut wherever two characters
+meet that no piece has side by side. Only distinct units are encoded:
 their substrings of bounded length are exploded and joined to the piece table,
 the edges found are grouped by unit, and one fold (Spark's ``aggregate`` over
 arrays) picks the segmentation. For a unigram model the fold is Viterbi over
@@ -40,7 +40,6 @@ MAX_FOLD = 48
 FOLD_UNITS = 40_000
 SHARED = 0.25
 _SPACE = "▁"
-_BREAKS = "\n\t"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -107,8 +106,14 @@ class Model:
         self.byte = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == 6}
         if len(self.byte) < 256:
             raise ValueError("only models with byte pieces")
-        if any(_SPACE in p.lstrip(_SPACE) or c in p for p in self.ids for c in _BREAKS):
-            raise ValueError("only models whose pieces stay within units")
+        chars = sorted({c for p in self.ids for c in p})
+        self.place = np.zeros(0x110000, np.uint16)  # 0 for characters of no piece
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.place[32] = self.place[ord(_SPACE)]
+        self.meet = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in self.ids:
+            at = self.place[[ord(c) for c in p]]
+            self.meet[at[:-1], at[1:]] = True
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = pa.table({"piece": list(self.ids), "id": pa.array(self.ids.values(), pa.int32()), "rank": pa.array([self.rank[i] for i in self.ids.values()], pa.int32()), "score": pa.array([self.pieces[i][1] for i in self.ids.values()], pa.float64())})
@@ -165,31 +170,31 @@ class Model:
         return [c for x in reversed(out) for c in x]
 
 
-def units(column: pa.Array, prefix: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, first) of the units of each text, where a space stands for the space mark too."""
     column = pc.replace_substring(pc.fill_null(column, ""), _SPACE, " ")
-    if prefix:
+    if model.prefix:
         column = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(" ", column, ""))
     raw, offsets = K.text_bytes(column)
-    space, lone = raw == 32, np.isin(raw, [ord(c) for c in _BREAKS])
+    at = np.flatnonzero((raw & 0xC0) != 0x80)
+    place = model.place[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    cut = np.ones(len(at), bool)
+    cut[1:] = ~model.meet[place[:-1], place[1:]]
     begin = np.zeros(len(raw) + 1, bool)
+    begin[at[cut]] = True
     begin[offsets] = True
-    if len(raw):
-        begin[1:-1] |= space[1:] & ~space[:-1]
-        begin[:-1] |= lone
-        begin[1:] |= lone
     starts = np.flatnonzero(begin[:-1])
     return raw, starts, np.append(starts[1:], len(raw)), np.searchsorted(starts, offsets)
 
 
-def distinct_units(texts: DataFrame, prefix: bool) -> DataFrame:
+def distinct_units(texts: DataFrame, model: Model) -> DataFrame:
     """Rows (part, unit): the units of each scan partition, once each."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(0, np.uint64)
         for batch in batches:
             for a, b in K.slices(batch.column(0)):
-                raw, starts, ends, _ = units(batch.column(0).slice(a, b - a), prefix)
+                raw, starts, ends, _ = units(batch.column(0).slice(a, b - a), model)
                 h = K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), starts, ends)
                 h, at = np.unique(h, return_index=True)
                 fresh = ~np.isin(h, seen, assume_unique=True)
@@ -209,7 +214,7 @@ def distinct_units(texts: DataFrame, prefix: bool) -> DataFrame:
 _EDGE = "struct(rank, s, e, id, score, shiftleft(1L, s) | shiftleft(1L, e) as ends, (shiftleft(1L, e) - 1) & ~(shiftleft(1L, s + 1) - 1) as inner)"
 #: Bits 0 to size are the boundaries; each step clears the one inside the best edge over two symbols.
 _MERGE = """aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1, (m, i) ->
-  coalesce(m & ~get(filter(edges, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 0).inner, m))"""
+  coalesce(m & ~get(filter(wide, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 0).inner, m))"""
 #: For each boundary the best score of a path to it and where its last edge starts; edges come by end, then start.
 _VITERBI = """aggregate(array_sort(edges, (a, b) -> case when a.e <> b.e then a.e - b.e else a.s - b.s end),
   transform(sequence(0, size), i -> struct(if(i = 0, 0D, double('-infinity')) as score, -1 as s)),
@@ -222,26 +227,27 @@ def encode_units(spark: SparkSession, found: DataFrame, model: Model, keep: list
     """Rows (unit, codes) and the columns ``keep`` of distinct units, in as many partitions as their number asks for."""
     pieces = F.broadcast(model.table(spark))  # its size is that of the model
     sized = found.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(_SPACE))).withColumn("size", F.length("marked"))
-    spans = F.expr(f"explode(flatten(transform(sequence(0, size - 1), s -> transform(sequence(1, least({model.longest}, size - s)), n -> struct(s as s, s + n as e, substring(marked, s + 1, n) as piece)))))")
-    edges = sized.filter(F.col("size") <= MAX_FOLD).select("unit", *keep, "size", spans.alias("x")).select("unit", *keep, "size", "x.*").join(pieces, "piece")
+    begun = sized.filter(F.col("size") <= MAX_FOLD).select("unit", *keep, "size", "marked", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
+    spans = begun.select("unit", *keep, "size", "marked", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {model.longest}, size))")).alias("e"))
+    edges = spans.select("unit", *keep, "size", "s", "e", F.expr("substring(marked, s + 1, e - s)").alias("piece")).join(pieces, "piece")
     # a character that is no piece has no edge; a unit of such characters alone comes back by the outer join below
     first = [F.first(c).alias(c) for c in (*keep, "size")]
     grouped = edges.groupBy("unit").agg(*first, F.array_sort(F.collect_list(F.expr(_EDGE))).alias("edges"))
     if model.bpe:
-        folded = grouped.withColumn("m", F.expr(_MERGE))
+        folded = grouped.withColumn("wide", F.filter("edges", lambda x: x["e"] > x["s"] + 1)).withColumn("m", F.expr(_MERGE)).drop("wide")
     else:
         # a character that is no piece costs more than any piece, so that it is only taken where it must be
         worst = min((s for _, s, kind in model.pieces if kind == 1), default=0.0) - 10
         lone = f"transform(filter(sequence(0, size - 1), i -> not exists(edges, x -> x.s = i and x.e = i + 1)), i -> struct({len(model.pieces)} as rank, i as s, i + 1 as e, cast(null as int) as id, double({worst}) as score, shiftleft(1L, i) | shiftleft(1L, i + 1) as ends, 0L as inner))"
         folded = grouped.withColumn("edges", F.expr(f"concat(edges, {lone})")).withColumn("m", F.expr(_VITERBI))
-    bounds = F.expr("filter(sequence(0, size), i -> shiftright(m, i) & 1 = 1)")
-    folded = folded.withColumn("b", bounds)
-    byte = "transform(sequence(1, octet_length(c)), k -> get(bytes, cast(conv(hex(substring(cast(c as binary), k, 1)), 16, 10) as int)))"
-    folded = folded.withColumn("bytes", F.lit([model.byte[i] for i in range(256)]).cast("array<int>")).withColumn("marked", F.replace("unit", F.lit(" "), F.lit(_SPACE)))
-    lookup = "get(filter(edges, x -> x.s = get(b, i) and x.e = get(b, i + 1)), 0).id"
-    spell = byte.replace("(c)", "(substring(marked, get(b, i) + 1, 1))").replace("cast(c as", "cast(substring(marked, get(b, i) + 1, 1) as")
-    codes = F.expr(f"flatten(transform(sequence(0, size(b) - 2), i -> if({lookup} is not null, array({lookup}), {spell})))")
-    folded = folded.select("unit", *keep, codes.alias("codes"))
+    # the edges between neighbouring boundaries are the codes, unless some character has none: then it is spelled in bytes
+    taken = "array_sort(transform(filter(edges, x -> (m & x.ends) = x.ends and (m & x.inner) = 0 and x.id is not null), x -> struct(x.s as s, x.id as id)))"
+    folded = folded.withColumn("taken", F.expr(taken))
+    folded = folded.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(_SPACE))).withColumn("bytes", F.lit([model.byte[i] for i in range(256)]).cast("array<int>"))
+    char = "cast(substring(marked, i + 1, 1) as binary)"
+    byte = f"transform(sequence(1, octet_length({char})), k -> get(bytes, cast(conv(hex(substring({char}, k, 1)), 16, 10) as int)))"
+    spelled = f"flatten(transform(filter(sequence(0, size - 1), i -> shiftright(m, i) & 1 = 1), i -> if(exists(taken, x -> x.s = i), array(get(filter(taken, x -> x.s = i), 0).id), {byte})))"
+    folded = folded.select("unit", *keep, F.expr(f"if(size(taken) = bit_count(m) - 1, transform(taken, x -> x.id), {spelled})").alias("codes"))
 
     @F.arrow_udf("array<int>")
     def merge_long(column: pa.Array) -> pa.Array:
@@ -271,8 +277,8 @@ class _Codes:
         self.size, self.start = size[order], (np.cumsum(size) - size)[order]
         self.values = np.asarray(codes.flatten(), dtype=np.int32)
 
-    def encode(self, column: pa.Array, prefix: bool) -> pa.Array:
-        raw, starts, ends, first = units(column, prefix)
+    def encode(self, column: pa.Array, model: Model) -> pa.Array:
+        raw, starts, ends, first = units(column, model)
         h = K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         if len(h) and not (len(self.hashes) and (self.hashes[at] == h).all()):
@@ -300,7 +306,7 @@ def encode(docs: DataFrame, model: Model | None = None, scanned: bool = False) -
     docs = docs.select("doc_id", "text")
     if not scanned:
         docs = stash(docs, "texts")
-    found = stash(distinct_units(docs.select("text"), model.prefix).groupBy("unit").agg(F.collect_set("part").alias("parts")), "units")
+    found = stash(distinct_units(docs.select("text"), model).groupBy("unit").agg(F.collect_set("part").alias("parts")), "units")
     count, parts = found.count(), docs.rdd.getNumPartitions()
     coded_path = new_path(spark, "codes")
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -316,28 +322,45 @@ def encode(docs: DataFrame, model: Model | None = None, scanned: bool = False) -
     common = F.size("parts") >= max(2, SHARED * parts)
     coded.filter(common).select("unit", "codes").write.parquet(shared)
     coded.filter(~common).select(F.explode("parts").alias("part"), "unit", "codes").repartition("part").write.partitionBy("part").parquet(own)
-    prefix = model.prefix
-
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = None
         for batch in batches:
             codes = codes or _Codes([_read(shared), _read(f"{own}/part={TaskContext.get().partitionId()}")])
             for a, b in K.slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.if_else(pc.is_null(part.column(1)), None, codes.encode(part.column(1), prefix))], names=["doc_id", "text", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.if_else(pc.is_null(part.column(1)), None, codes.encode(part.column(1), model))], names=["doc_id", "text", "codes"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(look_up, f"doc_id {kind}, text string, codes array<int>")
 
 
 def decode(coded: DataFrame, model: Model | None = None, column: str = "codes", to: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its codes: control and unknown codes are nothing, null codes null. No shuffle."""
+    """``coded`` with the text of its codes: control and unknown codes are nothing, null codes null. No shuffle.
+
+    Codes beyond the model raise; bytes that are not UTF-8 become replacement characters.
+    """
     model = model or Model()
-    spelled = ["" if kind in (2, 3) else f"{int(p[1:-1], 16):02X}" if kind == 6 else p.replace(_SPACE, " ").encode().hex().upper() for p, _, kind in model.pieces]
-    table = coded.sparkSession.createDataFrame(pa.table({"__hex": pa.array([spelled])}))
-    text = F.decode(F.unhex(F.array_join(F.transform(column, lambda i: F.get("__hex", i)), "")), "UTF-8")
-    joined = coded.crossJoin(F.broadcast(table))  # one row, of the model's size
-    return joined.withColumn(to, F.when(text.startswith(" "), F.substring(text, 2, 1 << 30)).otherwise(text) if model.prefix else text).drop("__hex")
+    spelled = [b"" if kind in (2, 3) else bytes([int(p[1:-1], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() for p, _, kind in model.pieces]
+
+    @F.arrow_udf("string")
+    def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pa.array(spelled, pa.large_binary())
+        for column in batches:
+            lists = pc.if_else(pc.is_null(column), pa.scalar([], column.type), column)
+            joined = table.take(lists.flatten())
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(joined), dtype=np.int64))])
+            bounds = ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])]
+            raw = b"".join(joined.to_pylist()) if joined.offset else (joined.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+            parts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+            try:
+                text = parts.cast(pa.large_string())
+            except pa.ArrowInvalid:
+                text = pa.array([x.decode("utf-8", "replace") for x in parts.to_pylist()], pa.large_string())
+            if model.prefix:
+                text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+            yield pc.if_else(pc.is_null(column), None, text).cast(pa.string())
+
+    return coded.withColumn(to, spell(column))
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
