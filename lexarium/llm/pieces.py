@@ -37,7 +37,7 @@ from .warc import open_fs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_FOLD = 48
-FOLD_UNITS = 40_000
+FOLD_UNITS = 10_000
 SHARED = 0.25
 _SPACE = "▁"
 
