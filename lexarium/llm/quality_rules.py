@@ -63,14 +63,16 @@ def language_references(docs: DataFrame, common: int = COMMON) -> dict[str, dict
     base = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").filter("text is not null")
     chars = base.mapInArrow(count, "lang string, h array<bigint>").groupBy("lang").agg(*(F.sum(F.get("h", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)))
     words = base.select("lang", F.explode(F.split(F.lower("text"), r"[ \t\n\f\r]+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    top = words.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word")))
-    top = top.groupBy("lang", F.when(F.col("rank") <= common, F.col("word")).alias("word")).agg(F.sum("count").alias("n"))
+    # the limit on the rank is applied before the shuffle by language; both parts read one exchange
+    ranked = words.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("rank") <= common)
+    top = ranked.select("lang", "word", F.col("count").alias("n")).union(words.groupBy("lang").agg(F.sum("count").alias("n")).select("lang", F.lit(None).cast("string"), "n"))
     out = {r["lang"]: {"chars": [r[f"c{i}"] for i in range(CLASSES)], "words": {}, "other": 0} for r in chars.collect()}  # a row for each language
     for r in top.collect():  # COMMON + 1 rows for each language
         if r["word"] is None:
-            out[r["lang"]]["other"] = r["n"]
+            out[r["lang"]]["other"] += r["n"]
         else:
             out[r["lang"]]["words"][r["word"]] = r["n"]
+            out[r["lang"]]["other"] -= r["n"]
     return out
 
 
