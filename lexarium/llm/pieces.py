@@ -39,6 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_FOLD = 48
 FOLD_UNITS = 10_000
 SHARED = 0.25
+DECODE_ROWS = 500
 _SPACE = "▁"
 
 
@@ -342,23 +343,27 @@ def decode(coded: DataFrame, model: Model | None = None, column: str = "codes",
     model = model or Model()
     spelled = [b"" if kind in (2, 3) else bytes([int(p[1:-1], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() for p, _, kind in model.pieces]
 
+    def one(column: pa.Array, table: pa.Array) -> pa.Array:
+        lists = pc.if_else(pc.is_null(column), pa.scalar([], column.type), column)
+        joined = table.take(lists.flatten())
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(joined), dtype=np.int64))])
+        bounds = ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])]
+        raw = b"".join(joined.to_pylist()) if joined.offset else (joined.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        parts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        try:
+            text = parts.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.decode("utf-8", "replace") for x in parts.to_pylist()], pa.large_string())
+        if model.prefix:
+            text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+        return pc.if_else(pc.is_null(column), None, text).cast(pa.string())
+
     @F.arrow_udf("string")
     def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(spelled, pa.large_binary())
-        for column in batches:
-            lists = pc.if_else(pc.is_null(column), pa.scalar([], column.type), column)
-            joined = table.take(lists.flatten())
-            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(joined), dtype=np.int64))])
-            bounds = ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])]
-            raw = b"".join(joined.to_pylist()) if joined.offset else (joined.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-            parts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
-            try:
-                text = parts.cast(pa.large_string())
-            except pa.ArrowInvalid:
-                text = pa.array([x.decode("utf-8", "replace") for x in parts.to_pylist()], pa.large_string())
-            if model.prefix:
-                text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
-            yield pc.if_else(pc.is_null(column), None, text).cast(pa.string())
+        for batch in batches:
+            parts = [one(batch.slice(at, DECODE_ROWS), table) for at in range(0, len(batch), DECODE_ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return coded.withColumn(to, spell(column))
 
