@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from .store import stash
 
 K_NEAREST = 10
-FACTOR = 5.0
+FACTOR = 1.0
 SHARD_ROWS = 4096
 QUERY_ROWS = 65_536
 LEAF = 64
@@ -69,6 +69,10 @@ class Tree:
 
         def offer(q: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
             d = np.where(self.ids[rows][None, :] == ids[q][:, None], np.inf, d)
+            nearer = np.flatnonzero(d.min(1) < best[q].max(1))
+            q, d = q[nearer], d[nearer]
+            if not len(q):
+                return
             every = np.concatenate([best[q], d], 1)
             names = np.concatenate([who[q], np.broadcast_to(self.ids[rows], d.shape)], 1)
             keep = np.argpartition(every, k - 1, 1)[:, :k] if every.shape[1] > k else np.broadcast_to(np.arange(k), (len(q), k))

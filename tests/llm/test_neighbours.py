@@ -47,6 +47,24 @@ def test_recall_as_in_production(spark):
     assert len(got) == 1500 and np.mean([len({a for a, _ in got[k]} & {a for a, _ in want[k]}) / 10 for k in want]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["clustered", "gaussian", "low rank", "low rank on the sphere"])
+def test_recall_of_few_dimensions_as_in_production(spark, kind):
+    r = np.random.default_rng(3)
+    rows = {
+        "clustered": lambda: vectors(1500, 6, 3),
+        "gaussian": lambda: r.normal(size=(1500, 16)),
+        "low rank": lambda: r.normal(size=(1500, 8)) @ r.normal(size=(8, 64)),
+        "low rank on the sphere": lambda: r.normal(size=(1500, 12)) @ r.normal(size=(12, 64)),
+    }[kind]()
+    if kind.endswith("sphere"):
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = rows.astype(np.float32)
+    got = collected(neighbours.nearest(table(spark, np.arange(1500), rows), shard_rows=500))
+    want = brute(np.arange(1500), rows.astype(float), 10)
+    recall = np.mean([len({a for a, _ in got[k]} & {a for a, _ in want[k]}) / 10 for k in want])
+    assert len(got) == 1500 and recall >= 0.99
+
+
 def test_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [5.0, 5.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (None, [0.0, 0.0]), (6, [float("inf"), 0.0]), (7, []), (8, [0.0, None])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
