@@ -25,6 +25,8 @@ from . import kernels as K
 from .store import fresh, stash
 
 MIN_BYTES = 24
+#: Of lines of any length, so that equal short ones go too: what the query and the pipeline compare.
+ALL_LINES = 1
 #: Lines of at least so many bytes allow so many edits; shorter ones than the first only equal lines.
 TAU = ((24, 1), (80, 2))
 BROADCAST_ROWS = 1_000_000
@@ -82,7 +84,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             if use.any():
                                 put(own[use], from_[use] + p[use], n[use], (other[use] * 16 + t) * 16 + i, 1)
                 # a shorter line of a lower class is indexed for this class too
-                low_class = np.flatnonzero((taus < t) & (tau_of(length + t) >= t) & (length >= MIN_BYTES))
+                low_class = np.flatnonzero((taus < t) & (tau_of(length + t) >= t))
                 if len(low_class):
                     size, from_ = length[low_class], begin[low_class]
                     for i in range(t + 1):
@@ -219,20 +221,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(distance).filter(ok)], names=["a", "b", "distance"])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line")).filter(F.octet_length("line") >= MIN_BYTES)
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
+    return lines.filter((F.octet_length("line") >= least) & ((F.octet_length("line") >= MIN_BYTES) | F.col("line").rlike(r"\S")))
 
 
 def _line_id(line: Column | str) -> Column:
     return F.xxhash64(line).bitwiseAND(F.lit(~1)).alias("id")
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """Rows (a, b, distance): ids of distinct lines within the threshold of each other, each pair once, a < b."""
-    signed = _lines(docs).select(_line_id("line"), "line").mapInArrow(_signatures, _KEYS)
+    least = max(least, MIN_BYTES - TAU[0][1])  # shorter ones are within no threshold of another line
+    signed = _lines(docs, least).select(_line_id("line"), "line").mapInArrow(_signatures, _KEYS)
     candidates = stash(signed.repartition("key").sortWithinPartitions("key").mapInArrow(_join, "a bigint, b bigint").distinct(), "linepairs")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = _lines(docs).select(_line_id("line"), "line")
+    texts = _lines(docs, least).select(_line_id("line"), "line")
     if candidates.count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(wanted), "id", "left_semi")
     else:
@@ -242,11 +246,11 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint, distance bigint")
 
 
-def _duplicates(docs: DataFrame) -> DataFrame:
+def _duplicates(docs: DataFrame, least: int) -> DataFrame:
     """As :func:`duplicate_lines`, with the id of the line: rows of one doc_id may differ in text."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    at = _lines(docs).select(_line_id("line"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no")).alias("at"))
-    near = stash(near_lines(docs), "nearlines")
+    at = _lines(docs, least).select(_line_id("line"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no")).alias("at"))
+    near = stash(near_lines(docs, least), "nearlines")
     first = at.groupBy("id").agg(F.min("at").alias("first"))
     links = near.select("a", "b").union(near.select("b", "a"))
     pulled = links.join(first.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first").alias("near"))
@@ -255,26 +259,27 @@ def _duplicates(docs: DataFrame) -> DataFrame:
     return every.select("at.doc_id", "at.line_no", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line_no").alias("of_line_no"), "id").distinct()
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """Rows (doc_id, line_no, of_doc_id, of_line_no): lines with an earlier line within the threshold, and the earliest such.
 
     Lines are the parts of a text between newlines, numbered from 0; earlier
     means less by (doc_id, line_no). A line goes if any earlier line is equal
-    or near, whether that one stays or not. Lines under ``MIN_BYTES`` bytes
-    are never compared. Null and empty texts have no such lines; rows whose
+    or near, whether that one stays or not. Lines under ``least`` bytes
+    and blank ones under ``MIN_BYTES`` are never compared; those under ``MIN_BYTES`` go where they
+    are equal, or within the threshold of a longer line. Null and empty texts have no such lines; rows whose
     doc_id is null are left out. Of rows with equal doc_id and text the lines
     count as one (same position). Other columns are ignored.
     """
-    return _duplicates(docs).drop("id").distinct()
+    return _duplicates(docs, least).drop("id").distinct()
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """The documents without their duplicate lines; one that loses lines and has nothing left but white space goes.
 
     Columns stay as they are, but for text and n_chars (where there is one).
     """
     key, marks = fresh(docs, "key"), fresh(docs, "gone")
-    gone = _duplicates(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("line_no", "id")).alias(marks))
+    gone = _duplicates(docs, least).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("line_no", "id")).alias(marks))
     joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left").drop(key)
     mark = lambda line, i: F.struct(i.cast("bigint").alias("line_no"), _line_id(line))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col(marks), mark(line, i))), "\n")
@@ -284,7 +289,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), ALL_LINES)
 
 
 OP10_SQL = """

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from lexarium.llm import line_dedup
 
 from .helpers import ODD, documents, prose
@@ -73,6 +74,17 @@ def test_drop(spark):
             assert i not in got
 
 
+def test_short_lines_as_in_production(spark, tmp_path):
+    edge = "twenty-three bytes line"
+    texts = ["All rights reserved.\n\n  \nx\nyes", "All rights reserved.\n\n  \ny\nyex", edge + "\nx", edge + "!\nxy\n" + edge[:-1]]
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).select("doc_id", "line_no", "of_doc_id", "of_line_no").collect())
+    assert len(edge) == 23 and got == [(1, 0, 0, 0), (2, 1, 0, 3), (3, 0, 2, 0)]
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert kept == {0: texts[0], 1: "\n  \ny\nyex", 2: edge, 3: "xy\n" + edge[:-1]}
+
+
 def test_small(spark):
     assert line_dedup.duplicate_lines(documents(spark, [])).isEmpty()
     line = "a line of more than twenty-four bytes"
