@@ -71,6 +71,14 @@ _SPANS = re.compile(
     r"|[a-z]*([a-z])\2\2[a-z]*"  # repeeeated
 )
 
+#: Disguises that ordinary text has as well: their reading counts only if it is a word of the lexicon.
+_LOOSE = re.compile(
+    rf"(?<![{_SIGN}])(?P<apart>[{_SIGN}](?:[\s.,;:/_*\-]+[{_SIGN}]){{2,}})(?![{_SIGN}])"  # s. c. u. m
+    rf"|(?<![{_SIGN}])(?=[{_SIGN}]*[a-z])[a-z]*[0134578@$!|+][{_SIGN}]*"  # idio7, idi000t
+    r"|[a-z]*(?:([a-z])\2([a-z])\3)[a-z]*"  # iiddiioott
+)
+_APART, _AGAIN = re.compile(r"[\s.,;:/_*\-]+"), re.compile(r"([0134578@$!|+])\1+")
+
 
 def char_counts(docs: DataFrame) -> np.ndarray:
     """Counts of the character trigrams of all texts, by 28 classes: boundary, a to z, other."""
@@ -187,7 +195,20 @@ class Reader:
             changed += got != span
             return got
 
-        return _SPANS.sub(one, text), changed
+        def loose(match: re.Match) -> str:
+            nonlocal changed
+            span = match.group(0)
+            signs = _APART.sub("", span)
+            n = len(signs)
+            cuts = ((0, n), (1, n), (0, n - 1), (1, n - 1)) if match.group("apart") else ((0, n), (0, len(signs.rstrip("!|+$"))))
+            for a, b in cuts:
+                for signs_ in dict.fromkeys((signs[a:b], _AGAIN.sub(r"\1", signs[a:b]))):
+                    if len(signs_) > 2 and (got := self.read(signs_)) in self.words:
+                        changed += got != span
+                        return " ".join(x for x in (signs[:a], got, signs[b:]) if x)
+            return span
+
+        return _SPANS.sub(one, _LOOSE.sub(loose, text)), changed
 
 
 def _suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -200,6 +221,12 @@ def _suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hit = leet[:n] & letter[1 : n + 1]
     hit |= letter[:n] & (r[:n] == r[1 : n + 1]) & (r[:n] == r[2 : n + 2])
     hit |= sign[:n] & sep[1 : n + 1] & sign[2 : n + 2] & (r[1 : n + 1] == r[3 : n + 3]) & sign[4 : n + 4]
+    hit |= letter[:n] & leet[1 : n + 1]
+    hit |= letter[:n] & (r[:n] == r[1 : n + 1]) & letter[2 : n + 2] & (r[2 : n + 2] == r[3 : n + 3])
+    at = np.flatnonzero(sign[:n])
+    alone = (r[at + 1] == 256) | ~sign[at + 1]
+    alone &= (at == 0) | ~sign[at - 1]
+    hit[at[:-2][alone[:-2] & alone[1:-1] & alone[2:]]] = True
     owner = np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1
     out = np.zeros(len(offsets) - 1, bool)
     out[owner] = True

@@ -55,6 +55,11 @@ def test_toxic(counts, text):
     assert toxicity.Scorer(LEXICON, counts)(pa.array([text]))[0].as_py()["score"] >= toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["idio7", "you idi07!", "worthles5", "worthle55", "s. c. u. m", "s  c  u  m", "i\td\ti\to\tt", "i,d,i,o,t", "i/d/i/o/t", "i-d i-o t", "a s. c. u. m b", "iiddiioott", "idi000t"])
+def test_toxic_in_more_disguises(counts, text):
+    assert toxicity.Scorer(LEXICON, counts)(pa.array([text]))[0].as_py()["score"] >= toxicity.THRESHOLD
+
+
 @pytest.mark.parametrize("text", [prose(77, 300), "call 555-0134 at 10:30", "a b c d e", "x86 and mp3 files, room 101", "", None, "blimo", "scumbled idiotic", *ODD])
 def test_clean(counts, text):
     assert toxicity.Scorer(LEXICON, counts)(pa.array([text], pa.string()))[0].as_py()["score"] == 0
