@@ -40,8 +40,6 @@ PURITY = 0.98
 PAIR_PURITY, MIN_PAIR_DOCS = 0.95, 10
 MIN_PREFIX, MAX_PREFIX, MIN_FORMS = 4, 9, 5
 THRESHOLD = 2.5
-#: Known before any label is seen.
-SEED = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "trash", "loser", "clown")
 
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 P_LEET, P_SEPARATOR, P_REPEAT, P_LITERAL, P_GAP = math.log(0.3), math.log(0.5), math.log(0.4), math.log(0.05), math.log(0.2)
@@ -114,7 +112,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     mixed = known.filter(F.col("prefix") & ~pure & (F.col("t") >= F.col("n")))
     twice = began.join(mixed, "term").groupBy("term", "ctx", "doc_id", "toxic").count().filter("count > 1").groupBy("term", "ctx").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n"))
     twice = twice.filter((F.col("t") >= MIN_PAIR_DOCS) & (F.col("t") >= PAIR_PURITY * (F.col("t") + F.col("n"))))
-    out: dict[str, dict[str, float]] = {"word": dict.fromkeys(SEED, 6.0), "prefix": {}, "pair": {}}
+    out: dict[str, dict[str, float]] = {"word": {}, "prefix": {}, "pair": {}}
     kind = F.when(F.col("prefix"), "prefix").otherwise("word").alias("kind")
     rows = known.filter(pure).select(kind, "term", "ctx", "t", "n").union(twice.select(F.lit("pair"), "term", "ctx", "t", "n")).collect()  # bounded by the sample
     longer: dict[tuple[str, str], float] = {}

@@ -3,12 +3,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexarium.llm import toxicity
 
 from .helpers import ODD, documents, prose
 
-LEXICON = {"word": dict.fromkeys(toxicity.SEED, 6.0), "prefix": {"zorg": 5.0}, "pair": {"blim": 4.0}}
+WORDS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "trash", "loser", "clown")
+LEXICON = {"word": dict.fromkeys(WORDS, 6.0), "prefix": {"zorg": 5.0}, "pair": {"blim": 4.0}}
 
 
 @pytest.fixture(scope="module")
@@ -78,4 +80,54 @@ def test_fit_and_filter(spark):
 def test_no_labels_no_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.rejected(documents(spark, []), none).isEmpty()
-    assert [r["doc_id"] for r in toxicity.rejected(documents(spark, ["you idiot", "fine"]), none).collect()] == [0]
+    docs = documents(spark, ["you idiot", "fine"])
+    assert toxicity.rejected(docs, none).isEmpty() and toxicity.keep_clean(docs, none).count() == 2
+
+
+def plain_lexicon(rows):
+    """What :func:`fit_lexicon` says of whole words and of pure beginnings, by plain loops over (toxic, text)."""
+    import re
+    from collections import defaultdict
+    from math import log
+
+    toxic, clean, contexts, forms = defaultdict(int), defaultdict(int), defaultdict(set), defaultdict(set)
+    for bad, text in rows:
+        words = re.findall(r"[^\W_]+", text.lower())
+        for before, word in zip([None, *words], words):
+            if len(word) < 3:
+                continue
+            for term in [("word", word), *(("prefix", word[:k]) for k in range(toxicity.MIN_PREFIX, min(toxicity.MAX_PREFIX, len(word) - 1) + 1))]:
+                (toxic if bad else clean)[term] += 1
+                if bad:
+                    contexts[term].add((word, before))
+                    forms[term].add(word)
+    pure = {
+        t: len(c)
+        for t, c in contexts.items()
+        if len(c) >= max(toxicity.MIN_CONTEXTS, toxicity.MIN_SPREAD * toxic[t]) and toxic[t] >= toxicity.PURITY * (toxic[t] + clean[t]) and (t[0] == "word" or len(forms[t]) >= toxicity.MIN_FORMS)
+    }
+    longest = defaultdict(int)
+    for (kind, term), n in pure.items():
+        if kind == "prefix":
+            longest[term[:-1]] = max(longest[term[:-1]], n)
+    return {t: log((toxic[t] + 0.5) / (clean[t] + 0.5)) for t, n in pure.items() if t[0] == "word" or longest[t[1]] < 0.95 * n}
+
+
+def test_lexicon_against_plain_loops(spark):
+    texts = [prose(i, 40) + (f" vorka{i % 7} {prose(i + 999, 2)} grulk {prose(i + 500, 2)} grulk" if i % 3 == 0 else " common") for i in range(180)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(180)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.fit_lexicon(documents(spark, texts), labels)
+    want = plain_lexicon([(i % 3 == 0, t) for i, t in enumerate(texts)])
+    assert ("word", "grulk") in want and any(kind == "prefix" for kind, _ in want)
+    assert {(kind, t): w for kind in ("word", "prefix") for t, w in got[kind].items()} == pytest.approx(want)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    texts = [prose(i, 60) + (f" grulk {prose(i + 9, 2)} grulk" if i % 2 else "") for i in range(80)]
+    docs = documents(spark, texts)
+    again = docs.filter("doc_id = 1").unionByName(docs.filter("doc_id = 1")).unionByName(docs.filter("doc_id = 1").withColumn("doc_id", F.lit(None).cast("bigint")))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    every = docs.unionByName(again)
+    got = [r["doc_id"] for r in toxicity.rejected(every, labels).collect()]
+    assert got.count(1) == 3 and got.count(None) == 1 and set(got) == {None, *range(1, 80, 2)}
+    assert toxicity.keep_clean(every, labels).count() == 40
