@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -30,6 +30,7 @@ ALL_LINES = 1
 #: Lines of at least so many bytes allow so many edits; shorter ones than the first only equal lines.
 TAU = ((24, 1), (80, 2))
 BROADCAST_ROWS = 1_000_000
+BLOCK_CELLS = 2_000_000
 
 _KEYS = "key bigint, line bigint"
 
@@ -159,8 +160,13 @@ def banded_distance(a: list[bytes], b: list[bytes], tau: int) -> np.ndarray:
     pad = 2 * tau + 2
     order = np.argsort(la, kind="stable")
     result = np.full(n, tau + 1, np.int64)
-    for at in range(0, n, 4096):
-        own = order[at : at + 4096]
+    at = 0
+    while at < n:
+        step = 4096
+        while step > 1 and step * la[order[min(at + step, n) - 1]] > BLOCK_CELLS:
+            step //= 2
+        own = order[at : at + step]
+        at += step
         own = own[la[own] - lb[own] <= tau]
         if not len(own):
             continue

@@ -257,15 +257,17 @@ class Scorer:
         return pa.StructArray.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], names)
 
     def _slice(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        restored = np.zeros(len(column), np.int64)
+        if not self.tables:
+            return np.zeros(len(column)), restored, restored
         column = pc.utf8_lower(pc.fill_null(column, ""))
         raw, offsets = K.text_bytes(column)
-        restored = np.zeros(len(column), np.int64)
         odd = np.flatnonzero(_suspicious(raw, offsets))
         if len(odd):
-            texts = column.to_pylist()
-            for i in odd.tolist():
-                texts[i], restored[i] = self.reader.restore(texts[i])
-            raw, offsets = K.text_bytes(pa.array(texts, pa.string()))
+            read, restored[odd] = zip(*(self.reader.restore(t) for t in column.take(pa.array(odd)).to_pylist()))
+            mask = np.zeros(len(column), bool)
+            mask[odd] = True
+            raw, offsets = K.text_bytes(pc.replace_with_mask(column, pa.array(mask), pa.array(read, column.type)))
         starts, ends, first = K.token_spans(raw, offsets, _WORD_BYTE)
         sums = K.prefix_sums(K.BYTE_CODE[raw])
         owner, term, weight = [], [], []
