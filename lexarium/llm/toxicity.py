@@ -320,15 +320,27 @@ def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     The score sums the weights of the distinct lexicon terms of the restored
     text. Null and empty texts score 0. A null doc_id is kept as null. Rows
     that repeat are judged one by one. Other columns are ignored. Without
-    labels the lexicon is ``SEED`` alone. Empty tables give no rows.
+    labels the lexicon is empty and nothing is rejected. Empty tables give no rows.
     """
-    score = scorer_udf(docs, labels, fit_rows)
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score("text").alias("s"))
-    return scored.select("doc_id", F.round("s.score", 6).alias("score"), "s.hits", "s.restored", (F.col("s.score") >= threshold).alias("toxic")).filter("toxic")
+    lexicon, counts = fit_lexicon(docs, labels, fit_rows), char_counts(docs)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon, counts)
+        for batch in batches:
+            found = scorer(batch.column(1))
+            bad = pa.array(np.asarray(found.field("score")) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(bad), *(found.field(c).filter(bad) for c in ("score", "hits", "restored"))], names=["doc_id", "score", "hits", "restored"])
+
+    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double, hits bigint, restored bigint")
+    return scored.select("doc_id", F.round("score", 6).alias("score"), "hits", "restored", F.lit(True).alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that are not rejected, with their columns as they are."""
+    """The documents that :func:`rejected` would not list, with their columns as they are.
+
+    Rows with null or empty texts or a null doc_id stay like any other, rows
+    that repeat are judged one by one, and an empty table stays empty.
+    """
     score = scorer_udf(docs, labels, fit_rows)
     return docs.filter(score("text")["score"] < threshold)
 
