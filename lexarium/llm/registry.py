@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op3_nearest_neighbours": neighbours.OP3_SQL,
     "op4_ngram_jaccard_join": jaccard.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_suffix_array_dedup": suffix.OP8_SQL,

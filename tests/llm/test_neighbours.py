@@ -39,6 +39,32 @@ def test_exact(spark, query_rows):
     assert np.mean([len({a for a, _ in got[k]} & {a for a, _ in want[k]}) / 5 for k in want]) > 0.995  # ties beyond the last place
 
 
+def test_ties_and_hot_shards(spark):
+    """A third of the rows is one vector: its shard is dealt to parts, and ties go by id."""
+    rows = vectors(600, 5, 4)
+    rows[np.arange(600) % 3 == 1] = rows[1]
+    ids = np.arange(600) * 5 + 1
+    got = collected(neighbours.nearest(table(spark, ids, rows), 7, shard_rows=40, query_rows=50, max_pivots=4))
+    assert got == brute(ids, rows.astype(float), 7)
+
+
+def test_queries_by_id(spark):
+    rows = vectors(400, 16, 6)
+    got = collected(neighbours.nearest(table(spark, np.arange(400) - 40, rows), shard_rows=100, every=20))
+    want = {i: n for i, n in brute(np.arange(400) - 40, rows.astype(float), 10).items() if i % 20 == 0}
+    assert len(want) == 20 and got == want
+
+
+def test_larger_factors_find_less(spark):
+    rows = vectors(1500, 6, 8)
+    want = brute(np.arange(1500), rows.astype(float), 10)
+    recalls = []
+    for factor in (1.0, 1.3, 4.0):
+        got = collected(neighbours.nearest(table(spark, np.arange(1500), rows), factor=factor, shard_rows=200))
+        recalls.append(np.mean([len({a for a, _ in got[k]} & {a for a, _ in want[k]}) / 10 for k in want]))
+    assert recalls[0] == 1 and recalls[0] >= recalls[1] >= recalls[2] and recalls[1] >= 0.9
+
+
 def test_recall_as_in_production(spark):
     rows = np.random.default_rng(2).normal(size=(1500, 64)).astype(np.float32)
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
