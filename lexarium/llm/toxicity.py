@@ -59,8 +59,7 @@ _LETTER = np.zeros(257, bool)
 _LETTER[97:123] = True
 _LEET_BYTE = np.zeros(257, bool)
 _LEET_BYTE[[ord(c) for c in LEET]] = True
-_SEPARATOR = np.zeros(257, bool)
-_SEPARATOR[[ord(c) for c in " .-_*"]] = True
+_SIGN_BYTE = (_LETTER | _LEET_BYTE)[:256]
 
 _SIGN = r"a-z0134578@$!|+"
 _SPANS = re.compile(
@@ -209,26 +208,38 @@ class Reader:
         return _SPANS.sub(one, _LOOSE.sub(loose, text)), changed
 
 
-def _suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that may hold a span; a cheap test over bytes that never misses one."""
-    r = np.full(len(raw) + 5, 256, np.int64)
-    r[: len(raw)] = raw
+def _regions(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the byte ranges that hold all spans: signs in a row, or single signs one after another.
+
+    A span has no white space between signs that are not single, so that a
+    range can be read apart from the rest. The test never misses a span.
+    """
     n = len(raw)
-    letter, leet, sep = _LETTER[r], _LEET_BYTE[r], _SEPARATOR[r]
-    sign = letter | leet
-    hit = leet[:n] & letter[1 : n + 1]
-    hit |= letter[:n] & (r[:n] == r[1 : n + 1]) & (r[:n] == r[2 : n + 2])
-    hit |= sign[:n] & sep[1 : n + 1] & sign[2 : n + 2] & (r[1 : n + 1] == r[3 : n + 3]) & sign[4 : n + 4]
-    hit |= letter[:n] & leet[1 : n + 1]
-    hit |= letter[:n] & (r[:n] == r[1 : n + 1]) & letter[2 : n + 2] & (r[2 : n + 2] == r[3 : n + 3])
-    at = np.flatnonzero(sign[:n])
-    alone = (r[at + 1] == 256) | ~sign[at + 1]
-    alone &= (at == 0) | ~sign[at - 1]
-    hit[at[:-2][alone[:-2] & alone[1:-1] & alone[2:]]] = True
-    owner = np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1
-    out = np.zeros(len(offsets) - 1, bool)
-    out[owner] = True
-    return out
+    r = np.full(n + 3, 256, np.int64)
+    r[:n] = raw
+    letter, leet = _LETTER[r], _LEET_BYTE[r]
+    hit = (leet[:n] & letter[1 : n + 1]) | (letter[:n] & leet[1 : n + 1])
+    twice = letter[:n] & (r[:n] == r[1 : n + 1])
+    hit |= twice & ((r[:n] == r[2 : n + 2]) | (letter[2 : n + 2] & (r[2 : n + 2] == r[3 : n + 3])))
+    start, end, first = K.token_spans(raw, offsets, _SIGN_BYTE)
+    if not len(start):
+        return start, start, start
+    owner = K.owners(first)
+    at = np.searchsorted(start, np.flatnonzero(hit), "right") - 1
+    odd = np.zeros(len(start), bool)
+    odd[at] = True
+    single = end - start == 1
+    odd &= ~single
+    new = np.concatenate([[True], (single[1:] != single[:-1]) | (owner[1:] != owner[:-1])])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(start)))
+    rows = begin[single[begin] & (size > 2)]
+    last = rows + size[single[begin] & (size > 2)] - 1
+    lone = np.flatnonzero(odd)
+    head, tail = np.concatenate([lone, rows]), np.concatenate([lone, last])
+    order = np.argsort(head)
+    head, tail = head[order], tail[order]
+    return start[head], end[tail], owner[head]
 
 
 class Scorer:
@@ -236,6 +247,7 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, dict[str, float]], counts: np.ndarray):
         self.reader = Reader(counts, [*lexicon["word"], *lexicon["prefix"], *lexicon["pair"]])
+        self.seen: dict[bytes, tuple[bytes, int]] = {}
         self.tables: list[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray]] = []
         groups: dict[tuple[bool, int], dict[str, float]] = {(False, 0): lexicon["word"]}
         for kind in ("prefix", "pair"):
@@ -256,18 +268,37 @@ class Scorer:
             return pa.StructArray.from_arrays([pa.array([], pa.float64()), pa.array([], pa.int64()), pa.array([], pa.int64())], names)
         return pa.StructArray.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], names)
 
+    def _read(self, raw: np.ndarray, offsets: np.ndarray, restored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the texts with all spans read; counts the spans that changed."""
+        data = raw.tobytes()
+        pieces, at, last, more = [], [], 0, []
+        for start, end, text in zip(*(x.tolist() for x in _regions(raw, offsets))):
+            span = data[start:end]
+            if span not in self.seen:
+                if len(self.seen) >= 200_000:
+                    self.seen.clear()
+                read, changed = self.reader.restore(span.decode())
+                self.seen[span] = (read.encode(), changed)
+            read, changed = self.seen[span]
+            if changed:
+                restored[text] += changed
+                pieces += [data[last:start], read]
+                at.append(end)
+                more.append(len(read) - len(span))
+                last = end
+        if not at:
+            return raw, offsets
+        pieces.append(data[last:])
+        shift = np.concatenate([[0], np.cumsum(more)])
+        return np.frombuffer(b"".join(pieces), np.uint8), offsets + shift[np.searchsorted(np.array(at), offsets, "right")]
+
     def _slice(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         restored = np.zeros(len(column), np.int64)
         if not self.tables:
             return np.zeros(len(column)), restored, restored
         column = pc.utf8_lower(pc.fill_null(column, ""))
         raw, offsets = K.text_bytes(column)
-        odd = np.flatnonzero(_suspicious(raw, offsets))
-        if len(odd):
-            read, restored[odd] = zip(*(self.reader.restore(t) for t in column.take(pa.array(odd)).to_pylist()))
-            mask = np.zeros(len(column), bool)
-            mask[odd] = True
-            raw, offsets = K.text_bytes(pc.replace_with_mask(column, pa.array(mask), pa.array(read, column.type)))
+        raw, offsets = self._read(raw, offsets, restored)
         starts, ends, first = K.token_spans(raw, offsets, _WORD_BYTE)
         sums = K.prefix_sums(K.BYTE_CODE[raw])
         owner, term, weight = [], [], []
