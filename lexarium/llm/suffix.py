@@ -1,16 +1,21 @@
 """Operator 8: removal of passages of ``WINDOW`` tokens or more that repeat.
 
-Depth-limited radix sort of the suffixes, most significant digit first. Only
-the first ``WINDOW`` tokens of a suffix take part, so a suffix is a window and
-equal groups at full depth are exactly the repeated windows. The first digit
-is the window's minimizer (the least hash of its runs of ``GRAM`` tokens):
-equal windows have equal ones, and neighbouring windows mostly share theirs,
-so one record carries a whole run of windows to the bucket of its digit in one
-shuffle. The second digit, the hash of all ``WINDOW`` tokens, is sorted
-inside a bucket; buckets of one window are done after the first pass.
-
-A bucket of more than ``BUCKET_WINDOWS`` windows is not sorted in one task: a
-third pass shuffles its windows by the second digit.
+Depth-limited radix sort of the suffixes, most significant digit first. A
+suffix takes part up to its first ``WINDOW`` tokens; its digits are runs of
+tokens, and ``DEPTHS`` tells how many tokens are sorted after each pass. A
+pass parts every group of the pass before by the next digit; groups of one are
+done and take no part any more. Groups that are left after the last pass are
+exactly the repeated windows.
+
+In a pass, tasks scan the texts, take the suffixes that are still in a group
+and send the key of their tokens so far to the bucket of its leading bits, in
+blocks. A key stands once in a block however often its texts repeat there, so
+copies are joined before the shuffle and no group is larger than the number
+of blocks. The answer for a block is a bit for each key, and goes back to the
+scan partition it came from (:mod:`.parts`). Keys of early passes are 40 bits
+and the bucket; where two digits share one, a later pass parts them. The last
+pass compares 96 bits and the bucket, of two independent hashes, and also
+carries the first place of the window.
 """
 
 from __future__ import annotations
@@ -19,169 +24,305 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import fresh, stash
+from . import parts
+from .store import stash
 
 WINDOW = 50
-GRAM = 16
-BUCKET_WINDOWS = 4_000_000
+#: Tokens sorted after each pass; the last is the window.
+DEPTHS = (16, 32, 50)
+#: A block of the texts of this many bytes is sent at a time, or more where buckets would get too few keys of it.
+BLOCK_BYTES = 1 << 20
+KEYS_A_BUCKET = 64
+BUCKETS_A_PARTITION = 16
+
+_SENT = "bucket bigint, part int, block int, n int, base bigint, data binary"
+_BACK = "part int, block int, bucket bigint, n int, data binary"
+_BACK_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte strings cut out of one array of bytes at ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _columns(n: np.ndarray, *fields: np.ndarray) -> pa.Array:
+    """For runs of ``n`` rows one byte string each: the bytes of all rows of the first field, then of the second, and so on."""
+    ends = np.cumsum(n)
+    out, at = np.zeros(int(ends[-1]) * sum(f.shape[1] for f in fields) if len(n) else 0, np.uint8), np.zeros(len(n), np.int64)
+    size = n * sum(f.shape[1] for f in fields)
+    begin = np.cumsum(size) - size
+    row = np.arange(int(ends[-1]) if len(n) else 0)
+    run = np.repeat(np.arange(len(n)), n)
+    for f in fields:
+        place = (begin + at)[run] + (row - (ends - n)[run]) * f.shape[1]
+        out[place[:, None] + np.arange(f.shape[1])] = f
+        at += n * f.shape[1]
+    return _binary(out, np.cumsum(size))
+
+
+def _fields(data: pa.Array, n: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """What :func:`_columns` packed, one array (rows, width) for each field."""
+    raw, offsets = K.text_bytes(data.cast(pa.large_binary()).view(pa.large_string()))
+    run = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    out, at = [], np.zeros(len(n), np.int64)
+    for w in widths:
+        out.append(raw[((offsets[:-1] + at)[run] + within * w)[:, None] + np.arange(w)])
+        at += n * w
+    return out
+
+
+def _bytes(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width]
+
+
+def _number(x: np.ndarray) -> np.ndarray:
+    full = np.zeros((len(x), 8), np.uint8)
+    full[:, : x.shape[1]] = x
+    return full.view(np.uint64).ravel()
+
+
+class _Sorter:
+    """The passes seen from a scan: which suffixes of a block are still in a group, and by what keys."""
+
+    def __init__(self, depths: tuple[int, ...], buckets: int, answers: list[tuple[str, int]], block_bytes: int):
+        self.depths, self.buckets, self.block_bytes = depths, buckets, block_bytes
+        self.part = TaskContext.get().partitionId()
+        self.bits = []
+        for where in answers:
+            table = parts.get(where, self.part, _BACK_ARROW).sort_by([("block", "ascending"), ("bucket", "ascending")])
+            block, column = np.asarray(table.column("block")), table.column("data").combine_chunks()
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+            self.bits.append({int(block[a]): (np.asarray(table.column("n"))[a:b], column.slice(a, b - a)) for a, b in zip(cut, np.append(cut[1:], len(block)))})
+
+    def keys(self, tokens: np.ndarray, start: np.ndarray, level: int) -> np.ndarray:
+        return K.span_hash(K.prefix_sums(tokens), start, start + self.depths[level])
+
+    def known(self, level: int, number: int, keys: int) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of keys and answers of the buckets of a block, in order."""
+        n, data = self.bits[level].get(number, (np.zeros(0, np.int32), pa.array([], pa.binary())))
+        if n.sum() != keys:
+            raise parts.Moved
+        return n, data
+
+    def left(self, number: int, tokens: np.ndarray, start: np.ndarray, levels: int) -> np.ndarray:
+        """Of the suffixes at ``start`` those that are in a group after so many passes."""
+        for level in range(levels):
+            key, back = np.unique(self.keys(tokens, start, level), return_inverse=True)
+            n, data = self.known(level, number, len(key))
+            if not len(key):
+                break
+            raw, offsets = K.text_bytes(data.cast(pa.large_binary()).view(pa.large_string()))
+            bit = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            held = (raw[np.repeat(offsets[:-1], n) + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
+            start = start[held[back] == 1]
+        return start
+
+
+def _suffixes(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, start, first): hashes of all tokens, and the numbers of those where a window begins."""
+    tokens, first = K.token_hashes(column)
+    count = np.maximum(np.diff(first) - window + 1, 0)
+    start = np.arange(count.sum()) + np.repeat(first[:-1] - np.cumsum(count) + count, count)
+    return tokens, start, first
 
-_RUN = "digit bigint, doc_id bigint, start bigint, keys binary"
-_HIT = "doc_id bigint, start bigint, n bigint, of_doc_id bigint, key bigint"
 
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    """Texts of the rows that have a doc_id; the others count as empty."""
+    return pc.if_else(pc.is_valid(batch.column("doc_id")), batch.column("text"), "")
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each full window of ``width`` values."""
-    n = len(x) - width + 1
-    pad = -len(x) % width
-    full = np.concatenate([x, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    left = np.minimum.accumulate(full, 1).ravel()
-    right = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending with the key."""
+    return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
-def runs(column: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digit, owner, start, first, keys): runs of windows with one minimizer; run i has the window hashes keys[first[i]:first[i+1]]."""
-    tokens, first = K.token_hashes(column)
-    keys, owner, position = K.ngram_hashes(tokens, first, window)
-    empty = np.zeros(0, np.int64)
-    if not len(keys):
-        return np.zeros(0, np.uint64), empty, empty, np.zeros(1, np.int64), keys
-    grams = K.span_hash(K.prefix_sums(tokens), np.arange(len(tokens) - gram + 1), np.arange(gram, len(tokens) + 1))
-    least = _sliding_min(grams, window - gram + 1)[first[:-1][owner] + position]
-    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
-    return least[cut], owner[cut], position[cut], np.concatenate([cut, [len(keys)]]), keys
 
+def _second(tokens: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    return K.span_hash(K.prefix_sums(K.mix(tokens, 31)), start, start + window)
 
-def _first_pass(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, b in K.slices(texts):
-                digit, owner, start, first, keys = runs(texts.slice(a, b - a), window)
-                if len(digit):
-                    packed = pa.Array.from_buffers(pa.large_binary(), len(digit), [None, pa.py_buffer(np.ascontiguousarray(first * 8)), pa.py_buffer(keys)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(digit.view(np.int64)), ids.slice(a, b - a).take(pa.array(owner)), pa.array(start), packed], names=["digit", "doc_id", "start", "keys"])
 
-    return run
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, size) of the runs of equal values."""
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(x)))
+
 
+def _first_places(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, suffix of the first place, times, number of the key of each suffix): first by document and place in it."""
+    order = np.lexsort((at, doc, key))
+    begin, times = _runs(key[order])
+    back = np.empty(len(key), np.int64)
+    back[order] = np.repeat(np.arange(len(begin)), times)
+    return key[order][begin], order[begin], times, back
 
-def _hits(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All windows of equal key but the first by (doc, start), joined to runs."""
-    order = np.lexsort((start, doc, key))
-    key, doc, start = key[order], doc[order], start[order]
-    fresh = np.concatenate([[True], key[1:] != key[:-1]])
-    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    again = ~fresh & ((doc != doc[lead]) | (start != start[lead]))
-    doc, start, of = doc[again], start[again], doc[lead][again]
-    if not len(doc):
-        return
-    order = np.lexsort((start, doc))
-    doc, start, of = doc[order], start[order], of[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1) | (of[1:] != of[:-1])]))
-    last = np.concatenate([cut[1:] - 1, [len(doc) - 1]])
-    for at in range(0, len(cut), 50_000):
-        c, e = cut[at : at + 50_000], last[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(start[c]), pa.array(start[e] - start[c] + 1), pa.array(of[c]), pa.nulls(len(c), pa.int64())], names=["doc_id", "start", "n", "of_doc_id", "key"])
-
-
-def _second_pass(bucket_windows: int):
-    """Rows sorted by digit. Windows of a bucket that is too large go on with their key and no ``of_doc_id``."""
-
-    def explode(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        packed = table.column("keys").combine_chunks()
-        raw, offsets = packed.buffers()[2], np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-        count = np.diff(offsets) // 8
-        key = np.frombuffer(raw[int(offsets[0]) : int(offsets[-1])], np.uint64)
-        within = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-        return key, np.repeat(np.asarray(table.column("doc_id")), count), np.repeat(np.asarray(table.column("start")), count) + within
-
-    def judge(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        digit = np.asarray(table.column("digit"))
-        same = digit[1:] == digit[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        if shared.any():
-            key, doc, start = explode(table.filter(pa.array(shared)).combine_chunks())
-            yield from _hits(key, doc, start)
-        # windows that repeat under one digit inside a single run (a token repeated on and on)
-        alone = table.filter(pa.array(~shared)).combine_chunks()
-        if len(alone):
-            key, doc, start = explode(alone)
-            _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-            twice = count[at] > 1
-            if twice.any():
-                yield from _hits(key[twice], doc[twice], start[twice])
-
-    def large(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, doc, start = explode(pa.Table.from_batches([batch]).combine_chunks())
-        for at in range(0, len(key), 50_000):
-            part = slice(at, at + 50_000)
-            n = len(key[part])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(start[part]), pa.array(np.ones(n, np.int64)), pa.nulls(n, pa.int64()), pa.array(key[part].view(np.int64))], names=["doc_id", "start", "n", "of_doc_id", "key"])
 
+def _send(sorter_of, level: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        weight, spilled = 0, None
+        sorter: _Sorter = sorter_of()
+        final = level == len(sorter.depths) - 1
+        number = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            digit = np.asarray(batch.column("digit"))
-            if spilled is not None:
-                upto = int(np.searchsorted(digit, spilled, "right"))
-                yield from large(batch.slice(0, upto))
-                batch, digit = batch.slice(upto), digit[upto:]
-                if not len(digit):
+            column, ids = _texts(batch), batch.column("doc_id").fill_null(0)
+            for a, b in K.slices(column, sorter.block_bytes):
+                tokens, start, first = _suffixes(column.slice(a, b - a), window)
+                start = sorter.left(number, tokens, start, level)
+                number += 1
+                if not len(start):
                     continue
-                spilled = None
-            cut = int(np.searchsorted(digit, digit[-1], "left"))
-            if cut or (held and held[0].column("digit")[0].as_py() != digit[0]):
-                yield from judge([*held, batch.slice(0, cut)])
-                held, weight = [], 0
-            held.append(batch.slice(cut))
-            weight += sum(len(x) for x in batch.column("keys").slice(cut).to_pylist()) // 8
-            if weight > bucket_windows:
-                for one in held:
-                    yield from large(one)
-                held, weight, spilled = [], 0, digit[-1]
-        if held:
-            yield from judge(held)
+                key = sorter.keys(tokens, start, level)
+                if final:
+                    owner = np.searchsorted(first, start, "right") - 1
+                    doc = np.asarray(ids.slice(a, b - a).cast(pa.int64()))[owner]
+                    key, rep, times, _ = _first_places(key, doc, start - first[owner])
+                else:
+                    key, times = np.unique(key, return_counts=True)
+                bucket = _bucket(key, sorter.buckets)
+                begin, n = _runs(bucket)
+                many = (times > 1).astype(np.uint8)[:, None]
+                base = 0
+                if final:
+                    base = int(doc.min())
+                    near = doc[rep] - base
+                    packed = _columns(n, _bytes(key, 8), _bytes(_second(tokens, start[rep], window), 4), many, _bytes(near, 8), _bytes((start - first[owner])[rep], 4))
+                else:
+                    packed = _columns(n, _bytes(key, 5), many)
+                k = len(begin)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(np.full(k, sorter.part, np.int32)), pa.array(np.full(k, number - 1, np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(k, base)), packed], names=["bucket", "part", "block", "n", "base", "data"])
 
     return run
 
 
-def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of large buckets, sorted by (key, doc, start): all but the first of each key."""
-    first: tuple[int, int, int] | None = None
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by bucket, whole buckets at a time."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc, start = (np.asarray(batch.column(c)) for c in ("key", "doc_id", "start"))
-        fresh = np.concatenate([[first is None or first[0] != key[0]], key[1:] != key[:-1]])
-        lead = np.where(np.cumsum(fresh) > 0, np.maximum(np.cumsum(fresh) - 1, 0), -1)
-        heads = np.flatnonzero(fresh)
-        ld, ls = (np.where(lead >= 0, v[heads[np.maximum(lead, 0)]] if len(heads) else 0, first[i] if first else 0) for i, v in ((1, doc), (2, start)))
-        again = ~fresh & ((doc != ld) | (start != ls))
-        if len(heads):
-            first = (int(key[heads[-1]]), int(doc[heads[-1]]), int(start[heads[-1]]))
-        n = int(again.sum())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(start[again]), pa.array(np.ones(n, np.int64)), pa.array(ld[again]), pa.nulls(n, pa.int64())], names=["doc_id", "start", "n", "of_doc_id", "key"])
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """Rows (doc_id, start, n, of_doc_id): n windows from token ``start`` on that each occur earlier, first in ``of_doc_id``."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    signed = texts.mapInArrow(_first_pass(window), _RUN)
-    found = stash(signed.repartition("digit").sortWithinPartitions("digit").mapInArrow(_second_pass(bucket_windows), _HIT), "windows")
-    rest = found.filter("key is not null").repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_third_pass, _HIT)
-    return found.filter("key is null").union(rest).drop("key")
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+        bucket = np.asarray(batch.column("bucket"))
+        cut = int(np.searchsorted(bucket, bucket[-1], "left"))
+        if cut or (held and held[0].column("bucket")[0].as_py() != bucket[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _answer(table: pa.Table, data: pa.Array) -> Iterator[pa.RecordBatch]:
+    for batch in pa.table([*(table.column(c) for c in ("part", "block", "bucket", "n")), data], ["part", "block", "bucket", "n", "data"]).to_batches(10_000):
+        yield batch
+
+
+def _bits(flag: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each run): flags packed to bits, every run from a new byte on."""
+    size = (n + 7) // 8
+    place = np.repeat((np.cumsum(size) - size) * 8 - (np.cumsum(n) - n), n) + np.arange(len(flag))
+    wide = np.zeros(int(size.sum()) * 8, np.uint8)
+    wide[place] = flag
+    return np.packbits(wide, bitorder="little"), size
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An early pass: whether a key has more than one suffix."""
+    for table in _buckets(batches):
+        n = np.asarray(table.column("n"), np.int64)
+        key, many = _fields(table.column("data").combine_chunks(), n, 5, 1)
+        key = (np.repeat(np.asarray(table.column("bucket")).astype(np.uint64), n) << np.uint64(40)) | _number(key)
+        order = np.argsort(key)
+        begin, size = _runs(key[order])
+        group = np.logical_or.reduceat(many[order, 0] > 0, begin) | (size > 1)
+        flag = np.empty(len(key), np.uint8)
+        flag[order] = np.repeat(group, size)
+        data, width = _bits(flag, n)
+        yield from _answer(table, _binary(data, np.cumsum(width)))
+
+
+def _judge_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last pass: 0 for a window that is alone, 1 where the block has its first place, 2 and the document of that place else."""
+    for table in _buckets(batches):
+        n = np.asarray(table.column("n"), np.int64)
+        key, more, many, near, at = _fields(table.column("data").combine_chunks(), n, 8, 4, 1, 8, 4)
+        key, more, at = _number(key), _number(more), _number(at)
+        doc = _number(near).view(np.int64) + np.repeat(np.asarray(table.column("base")), n)
+        order = np.lexsort((at, doc, more, key))
+        changed = (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])
+        begin = np.flatnonzero(np.concatenate([[True], changed]))
+        size = np.diff(np.append(begin, len(key)))
+        group = np.logical_or.reduceat(many[order, 0] > 0, begin) | (size > 1)
+        lead = np.repeat(order[begin], size)
+        state, of = np.zeros(len(key), np.uint8), np.zeros(len(key), np.int64)
+        holds = (doc[order] == doc[lead]) & (at[order] == at[lead])
+        state[order] = np.where(np.repeat(group, size), np.where(holds, 1, 2), 0)
+        of[order] = doc[lead]
+        run = np.repeat(np.arange(len(n)), n)
+        extra = np.bincount(run[state == 2], minlength=len(n))
+        begin, out = np.cumsum(n + 8 * extra) - (n + 8 * extra), np.zeros(int((n + 8 * extra).sum()), np.uint8)
+        out[begin[run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]] = state
+        told = run[state == 2]
+        within = np.arange(len(told)) - (np.cumsum(extra) - extra)[told]
+        out[((begin + n)[told] + 8 * within)[:, None] + np.arange(8)] = _bytes(of[state == 2], 8)
+        yield from _answer(table, _binary(out, np.cumsum(n + 8 * extra)))
+
+
+def _spans_of(sorter: _Sorter, number: int, column: pa.Array, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, of_doc_id) of the spans covered by windows that occur earlier, by row and place."""
+    tokens, start, first = _suffixes(column, window)
+    level = len(sorter.depths) - 1
+    start = sorter.left(number, tokens, start, level)
+    owner = np.searchsorted(first, start, "right") - 1
+    at, doc = start - first[owner], ids[owner]
+    key, rep, _, back = _first_places(sorter.keys(tokens, start, level), doc, at)
+    n, data = sorter.known(level, number, len(key))
+    none = np.zeros(0, np.int64)
+    if not len(key):
+        return none, none, none, none
+    raw, offsets = K.text_bytes(data.cast(pa.large_binary()).view(pa.large_string()))
+    run = np.repeat(np.arange(len(n)), n)
+    state = raw[offsets[:-1][run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]]
+    of = doc[rep].copy()
+    told = run[state == 2]
+    extra = np.bincount(told, minlength=len(n))
+    within = np.arange(len(told)) - (np.cumsum(extra) - extra)[told]
+    of[state == 2] = _number(raw[((offsets[:-1] + n)[told] + 8 * within)[:, None] + np.arange(8)]).view(np.int64)
+    state, of, lead = state[back], of[back], rep[back]
+    again = (state == 2) | ((state == 1) & ((doc != doc[lead]) | (at != at[lead])))
+    row, at, of = owner[again], at[again], of[again]
+    if not len(row):
+        return none, none, none, none
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window)]))
+    return row[new], at[new], at[np.append(new[1:], len(row)) - 1] + window, np.minimum.reduceat(of, new)
+
+
+def _sorted(docs: DataFrame, window: int, depths: tuple[int, ...], block_bytes: int):
+    """Runs all passes over a scan; returns what makes a :class:`_Sorter` that knows the result."""
+    spark = docs.sparkSession
+    buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block_bytes = max(block_bytes, 6 * KEYS_A_BUCKET * buckets)
+    texts = docs.select("doc_id", "text")
+    answers: list[tuple[str, int]] = []
+
+    def sorter_of(known: tuple[tuple[str, int], ...]):
+        return lambda: _Sorter(depths, buckets, list(known), block_bytes)
+
+    for level in range(len(depths)):
+        sent = texts.mapInArrow(_send(sorter_of(tuple(answers)), level, window), _SENT)
+        judge = _judge_last if level == len(depths) - 1 else _judge
+        answers.append(parts.put(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, _BACK), f"suffixes-{level}"))
+    return sorter_of(tuple(answers))
+
+
+def _depths(window: int, depths: tuple[int, ...]) -> tuple[int, ...]:
+    return (*(d for d in depths if d < window), window)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, depths: tuple[int, ...] = DEPTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, start, end, of_doc_id): the token spans [start, end) covered by windows that occur earlier.
 
     Tokens are parted by white space. A window is ``window`` tokens in a row;
@@ -190,45 +331,85 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_windows: int =
     overlap are one; ``of_doc_id`` is the least document that its windows
     occur in first. Null, empty and shorter texts have no windows; rows
     without doc_id are left out; rows that repeat doc_id and text count once
-    (same position). Other columns are ignored; an empty table gives no rows.
+    (same position), those of one doc_id with other texts have the spans of
+    all of them. Other columns are ignored; an empty table gives no rows.
     """
-    hits = repeated_windows(docs, window, bucket_windows)
-    by = "partition by doc_id order by start, n"
-    ended = hits.withColumn("reach", F.expr(f"max(start + n + {window - 1}) over ({by} rows between unbounded preceding and 1 preceding)"))
+    docs = parts.as_scan(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "suffix-texts")
+
+    def make() -> DataFrame:
+        sorter_of = _sorted(docs, window, _depths(window, depths), block_bytes)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sorter, number = sorter_of(), 0
+            for batch in batches:
+                column, ids = _texts(batch), np.asarray(batch.column("doc_id").fill_null(0).cast(pa.int64()))
+                for a, b in K.slices(column, sorter.block_bytes):
+                    row, start, end, of = _spans_of(sorter, number, column.slice(a, b - a), ids[a:b], window)
+                    number += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a:b][row], start, end, of)], names=["doc_id", "start", "end", "of_doc_id"])
+
+        return stash(docs.mapInArrow(find, "doc_id bigint, start bigint, end bigint, of_doc_id bigint"), "spans")
+
+    spans = parts.settled(make)
+    # rows of one doc_id: their spans are joined where they meet
+    by = "partition by doc_id order by start, end"
+    ended = spans.withColumn("reach", F.expr(f"max(end) over ({by} rows between unbounded preceding and 1 preceding)"))
     island = ended.withColumn("island", F.expr(f"sum(case when reach is null or start > reach then 1 else 0 end) over ({by} rows unbounded preceding)"))
-    return island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n") + window - 1).alias("end"), F.min("of_doc_id").alias("of_doc_id")).drop("island")
+    return island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("of_doc_id").alias("of_doc_id")).drop("island")
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the tokens of the spans and the white space after them."""
+    raw = text.encode()
+    starts, _, _ = K.token_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    at = np.append(starts, len(raw)).tolist()
+    kept, last = [], 0
+    for start, end in spans:
+        kept.append(raw[last : at[start]])
+        last = at[end]
+    return b"".join([*kept, raw[last:]]).decode()
 
 
-def drop_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_spans(docs: DataFrame, window: int = WINDOW, depths: tuple[int, ...] = DEPTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without their repeated spans; one that loses a span and keeps no token goes.
 
     A span goes with the white space after its tokens. Columns stay as they
-    are, but for text and n_chars (where there is one). A doc_id stands for one
-    text; rows that share it but not the text are cut by the spans of both.
+    are, but for text and n_chars (where there is one). A row is cut by the
+    spans of its own text; rows that repeat doc_id and text are cut alike.
+    Rows without doc_id or text stay, and an empty table stays empty.
     """
-    key, marks = fresh(docs, "key"), fresh(docs, "gone")
-    gone = repeated_spans(docs, window).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(marks))
-    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone[key], "left").drop(key)
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, gaps in zip(texts, spans):
-            raw = text.as_py().encode()
-            starts, _, _ = K.token_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            at = np.append(starts, len(raw)).tolist()
-            kept, last = [], 0
-            for gap in gaps.as_py():
-                kept.append(raw[last : at[min(gap["start"], len(at) - 1)]])
-                last = at[min(gap["end"], len(at) - 1)]
-            out.append(b"".join([*kept, raw[last:]]).decode())
-        return pa.array(out, pa.string())
-
-    left = joined.filter(F.col(marks).isNull() | F.col("text").isNull()).drop(marks)
-    changed = joined.filter(F.col(marks).isNotNull() & F.col("text").isNotNull()).withColumn("text", cut("text", marks)).drop(marks).filter(F.col("text").rlike(r"[^ \t\n\f\r]"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return left.unionByName(changed)
+    docs = parts.as_scan(docs, "suffix-documents")
+
+    def make() -> DataFrame:
+        sorter_of = _sorted(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), window, _depths(window, depths), block_bytes)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sorter, number = sorter_of(), 0
+            for batch in batches:
+                names = batch.schema.names
+                column, ids = _texts(batch), np.asarray(batch.column("doc_id").fill_null(0).cast(pa.int64()))
+                for a, b in K.slices(column, sorter.block_bytes):
+                    part = batch.slice(a, b - a)
+                    row, start, end, _ = _spans_of(sorter, number, column.slice(a, b - a), ids[a:b], window)
+                    number += 1
+                    if not len(row):
+                        yield part
+                        continue
+                    begin, n = _runs(row)
+                    whole = part.column("text").take(pa.array(row[begin])).to_pylist()
+                    left = [cut_spans(t, list(zip(start[i : i + k].tolist(), end[i : i + k].tolist()))) for t, i, k in zip(whole, begin.tolist(), n.tolist())]
+                    changed, gone = np.zeros(len(part), bool), np.zeros(len(part), bool)
+                    changed[row[begin]] = True
+                    gone[row[begin]] = [not t.strip(" \t\n\f\r") for t in left]
+                    columns = dict(zip(names, part.columns))
+                    columns["text"] = pc.replace_with_mask(columns["text"], pa.array(changed), pa.array(left, columns["text"].type))
+                    if "n_chars" in columns:
+                        columns["n_chars"] = pc.if_else(pa.array(changed), pc.utf8_length(columns["text"]).cast(columns["n_chars"].type), columns["n_chars"])
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in names], schema=part.schema).filter(pa.array(~gone))
+
+        return stash(docs.mapInArrow(cut, docs.schema), "suffix-cut")
+
+    return parts.settled(make)
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,10 +37,11 @@ def corpus():
     ]
 
 
-@pytest.mark.parametrize("bucket", [suffix.BUCKET_WINDOWS, 60])
-def test_against_brute_force(spark, bucket):
+@pytest.mark.parametrize(("depths", "block"), [(suffix.DEPTHS, suffix.BLOCK_BYTES), ((50,), 1), ((3, 7, 30), 2000)])
+def test_against_brute_force(spark, depths, block, monkeypatch):
+    monkeypatch.setattr(suffix, "KEYS_A_BUCKET", 1)  # so that blocks are as small as asked
     texts = corpus()
-    got = suffix.repeated_spans(documents(spark, texts, extra=True), bucket_windows=bucket)
+    got = suffix.repeated_spans(documents(spark, texts, extra=True), depths=depths, block_bytes=block)
     assert sorted((r["doc_id"], r["start"], r["end"], r["of_doc_id"]) for r in got.collect()) == brute(texts)
 
 
