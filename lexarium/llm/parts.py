@@ -50,21 +50,21 @@ def as_scan(df: DataFrame, name: str) -> DataFrame:
     return df if plain else stash(df, name)
 
 
-def put(answers: DataFrame, name: str) -> tuple[str, int]:
-    """Write rows with a column ``part``; returns what :func:`get` needs."""
+def put(answers: DataFrame, name: str, kind: pa.DataType = pa.int32()) -> tuple[str, int, pa.DataType]:
+    """Write rows with a column ``part`` of that kind, in its order; returns what :func:`get` needs."""
     spark = answers.sparkSession
     path, folders = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = answers.withColumn("folder", F.expr(f"pmod(part, {folders})")).repartition(folders, "folder").sortWithinPartitions("folder", "part")
     sorted_.write.option("compression", "zstd").partitionBy("folder").parquet(path)
-    return path, folders
+    return path, folders, kind
 
 
-def get(where: tuple[str, int], part: int, schema: pa.Schema) -> pa.Table:
+def get(where: tuple[str, int, pa.DataType], part: int, schema: pa.Schema) -> pa.Table:
     """The rows of one part."""
-    path, folders = where
+    path, folders, kind = where
     fs, at = open_fs(path)
     at = f"{at}/folder={part % folders}"
     if not fs.get_file_info(at).type.value:
         return schema.empty_table()
-    files = pads.dataset(at, filesystem=fs, format="parquet", schema=pa.schema([pa.field("part", pa.int32()), *schema]))
+    files = pads.dataset(at, filesystem=fs, format="parquet", schema=pa.schema([pa.field("part", kind), *schema]))
     return files.to_table(columns=schema.names, filter=pc.field("part") == part)

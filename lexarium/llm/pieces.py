@@ -9,13 +9,14 @@ piece scores. For a BPE model the path of greatest score is not what
 SentencePiece returns, so the fold merges over the lattice instead: at each
 step the best edge that joins two neighbouring symbols. Boundaries are bits of
 a long, so units of more than ``MAX_FOLD`` characters are merged with a heap in
-an Arrow function, with the same result.
-
-The codes find their way back without a shuffle of texts: every scan partition
-lists its distinct units; codes of units that occur in a quarter of the
-partitions go to one shared table (its size is bounded by that of a
-partition), all others to tables by partition; a second scan of the same files
-reads both.
+an Arrow function, with the same result. The edges are folded in the order of
+their pieces; only where an edge may be wanted again after its turn, all edges
+are looked at in each step.
+
+The units of a scan partition are numbered as they first occur in it and sent
+once each, in blocks, to buckets of their hashes. The codes go back to the
+partition by number (:mod:`.parts`); a second scan numbers the units again and
+gathers their codes. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -26,19 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as pads
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import new_path, stash
-from .warc import open_fs
+from . import parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_FOLD = 48
-FOLD_UNITS = 10_000
-SHARED = 0.25
+MAX_FOLD = 62
+FOLD_UNITS = 100_000
+BUCKETS_A_PARTITION = 4
 DECODE_ROWS = 500
 _SPACE = "▁"
 
@@ -117,8 +116,8 @@ class Model:
             self.meet[at[:-1], at[1:]] = True
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = pa.table({"piece": list(self.ids), "id": pa.array(self.ids.values(), pa.int32()), "rank": pa.array([self.rank[i] for i in self.ids.values()], pa.int32()), "score": pa.array([self.pieces[i][1] for i in self.ids.values()], pa.float64())})
-        return spark.createDataFrame(rows)
+        """Rows (piece, rank), and the empty piece at -1, which every unit has."""
+        return spark.createDataFrame(pa.table({"piece": ["", *self.ids], "rank": pa.array([-1, *(self.rank[i] for i in self.ids.values())], pa.int64())}))
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()]
@@ -188,186 +187,288 @@ def units(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     return raw, starts, np.append(starts[1:], len(raw)), np.searchsorted(starts, offsets)
 
 
-def distinct_units(texts: DataFrame, model: Model) -> DataFrame:
-    """Rows (part, unit): the units of each scan partition, once each."""
+class _Numbers:
+    """Units of a partition, numbered as they first occur."""
+
+    def __init__(self) -> None:
+        self.hashes, self.number, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def add(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each unit, places of the new ones in the order of their numbers)."""
+        u, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, u)
+        known = np.zeros(len(u), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == u[inside]
+        number = np.empty(len(u), np.int64)
+        number[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
+        order = new[np.argsort(first[new])]
+        number[order] = self.count + np.arange(len(order))
+        self.count += len(order)
+        self.hashes, self.number = np.insert(self.hashes, at[new], u[new]), np.insert(self.number, at[new], number[new])
+        return number[back], first[order]
+
+
+_SENT = "part bigint, source int, n int, numbers binary, units array<string>"
+
+
+def _cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    size = ends - starts
+    take = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[take]))])
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    raw, offsets = K.text_bytes(column)
+    return K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), offsets[:-1], offsets[1:])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(0, np.uint64)
+
+def _send(model: Model, buckets: int):
+    """The distinct units of a scan partition, a row for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, found = _Numbers(), [], []
         for batch in batches:
             for a, b in K.slices(batch.column(0)):
                 raw, starts, ends, _ = units(batch.column(0).slice(a, b - a), model)
                 h = K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), starts, ends)
-                h, at = np.unique(h, return_index=True)
-                fresh = ~np.isin(h, seen, assume_unique=True)
-                h, at = h[fresh], at[fresh]
-                seen = np.union1d(seen, h)
-                if not len(at):
-                    continue
-                size = ends[at] - starts[at]
-                take = np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[take])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), words], names=["part", "unit"])
+                _, new = seen.add(h)
+                if len(new):
+                    keys.append(h[new])
+                    found.append(_cut(raw, starts[new], ends[new]))
+        if not keys:
+            return
+        bucket = ((np.concatenate(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
+        ends = np.append(begin[1:], len(order))
+        words = pa.concat_arrays(found).take(pa.array(order)).cast(pa.string())
+        numbers = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.concatenate([begin, ends[-1:]]).astype(np.int32) * 4), pa.py_buffer(order.astype(np.uint32))])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, ends[-1:]]).astype(np.int32)), words)
+        k = len(begin)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][begin]), pa.array(np.full(k, TaskContext.get().partitionId(), np.int32)), pa.array((ends - begin).astype(np.int32)), numbers, lists], names=["part", "source", "n", "numbers", "units"])
+
+    return run
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, unit) of blocks that come by bucket; a unit comes once from every bucket of a task."""
+    bucket, seen = -1, np.zeros(0, np.uint64)
+    for batch in batches:
+        of = np.asarray(batch.column("part"), np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
+        for a, b in zip(begin, np.append(begin[1:], len(of))):
+            if of[a] != bucket:
+                bucket, seen = int(of[a]), np.zeros(0, np.uint64)
+            words = batch.column("units").slice(a, b - a).flatten()
+            h, at = np.unique(_hashes(words), return_index=True)
+            new = ~np.isin(h, seen, assume_unique=True)
+            seen = np.union1d(seen, h)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(new.sum()), bucket)), words.take(pa.array(at[new]))], names=["bucket", "unit"])
 
-    return texts.mapInArrow(find, "part int, unit string")
 
-
-_EDGE = "struct(rank, s, e, id, score, shiftleft(1L, s) | shiftleft(1L, e) as ends, (shiftleft(1L, e) - 1) & ~(shiftleft(1L, s + 1) - 1) as inner)"
 #: Bits 0 to size are the boundaries; each step clears the one inside the best edge over two symbols.
-_MERGE = """aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1, (m, i) ->
-  coalesce(m & ~get(filter(wide, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 0).inner, m))"""
+_LATE = "shiftleft(1L, 63)"
+_S, _E = "cast(shiftright(x, 8) & 255 as int)", "cast(x & 255 as int)"
+_ENDS = f"(shiftleft(1L, {_S}) | shiftleft(1L, {_E}))"
+_INNER = f"((shiftleft(1L, {_E}) - 1) & ~(shiftleft(1L, {_S} + 1) - 1))"
+_PASS = f"""aggregate(edges, shiftleft(1L, size + 1) - 1, (m, x) ->
+  if((m & {_ENDS}) = {_ENDS}, if(bit_count(m & {_INNER}) = 1, m & ~{_INNER}, m | {_LATE}), m))"""
+_MERGE = f"""aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1, (m, i) ->
+  aggregate(slice(filter(edges, x -> (m & {_ENDS}) = {_ENDS} and bit_count(m & {_INNER}) = 1), 1, 1), m, (n, x) -> n & ~{_INNER}))"""
 #: For each boundary the best score of a path to it and where its last edge starts; edges come by end, then start.
-_VITERBI = """aggregate(array_sort(edges, (a, b) -> case when a.e <> b.e then a.e - b.e else a.s - b.s end),
+_VITERBI = """aggregate(edges,
   transform(sequence(0, size), i -> struct(if(i = 0, 0D, double('-infinity')) as score, -1 as s)),
-  (p, x) -> transform(p, (c, i) -> if(i = x.e and get(p, x.s).score + x.score > c.score, struct(get(p, x.s).score + x.score as score, x.s as s), c)),
+  (p, x) -> transform(p, (c, i) -> if(i = {e} and get(p, {s}).score + get(scores, {r}) > c.score, struct(get(p, {s}).score + get(scores, {r}) as score, {s} as s), c)),
   p -> aggregate(sequence(1, size), struct(size as at, shiftleft(1L, size) as m), (b, i) ->
-    if(b.at <= 0, b, struct(get(p, b.at).s as at, b.m | shiftleft(1L, greatest(get(p, b.at).s, 0)) as m)), b -> b.m))"""
+    if(b.at <= 0, b, struct(get(p, b.at).s as at, b.m | shiftleft(1L, greatest(get(p, b.at).s, 0)) as m)), b -> b.m))""".format(
+    e="cast(shiftright(x, 40) as int)", s="cast(shiftright(x, 32) & 255 as int)", r="cast(x & 4294967295 as int)"
+)
 
 
-def encode_units(spark: SparkSession, found: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Rows (unit, codes) and the columns ``keep`` of distinct units, in as many partitions as their number asks for."""
+def encode_units(found: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Rows (unit, codes) and the columns ``keep`` of distinct units, which should be partitioned by unit."""
+    spark = found.sparkSession
     pieces = F.broadcast(model.table(spark))  # its size is that of the model
     sized = found.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(_SPACE))).withColumn("size", F.length("marked"))
+    # edges of one character cannot be merged, so only a unigram model needs them
+    least = 2 if model.bpe else 1
     begun = sized.filter(F.col("size") <= MAX_FOLD).select("unit", *keep, "size", "marked", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
-    spans = begun.select("unit", *keep, "size", "marked", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {model.longest}, size))")).alias("e"))
-    edges = spans.select("unit", *keep, "size", "s", "e", F.expr("substring(marked, s + 1, e - s)").alias("piece")).join(pieces, "piece")
-    # a character that is no piece has no edge; a unit of such characters alone comes back by the outer join below
-    first = [F.first(c).alias(c) for c in (*keep, "size")]
-    grouped = edges.groupBy("unit").agg(*first, F.array_sort(F.collect_list(F.expr(_EDGE))).alias("edges"))
+    ends = f"concat(if(s = 0, array(0), cast(array() as array<int>)), if(s + {least} <= size, sequence(s + {least}, least(s + {model.longest}, size)), cast(array() as array<int>)))"
+    spans = begun.select("unit", *keep, "size", "marked", "s", F.explode(F.expr(ends)).alias("e"))
+    packed = "shiftleft(rank, 16) | shiftleft(s, 8) | e" if model.bpe else "shiftleft(cast(e as bigint), 40) | shiftleft(cast(s as bigint), 32) | rank"
+    edges = spans.select("unit", *keep, "size", "s", "e", F.expr("substring(marked, s + 1, e - s)").alias("piece")).join(pieces, "piece").select("unit", *keep, "size", F.expr(f"if(rank < 0, -1L, {packed})").alias("x"))
+    folded = edges.groupBy("unit", *keep, "size").agg(F.array_sort(F.collect_list("x")).alias("edges")).withColumn("edges", F.expr("slice(edges, 2, size(edges))"))
+    chars = [0] * (max((ord(c) for c in model.ids if len(c) == 1), default=0) + 1)
+    for piece, i in model.ids.items():
+        if len(piece) == 1:
+            chars[ord(piece)] = i
+    by_rank = sorted(model.rank, key=model.rank.get)
+    whole = lambda values, kind: F.lit(np.array(values, kind))
+    folded = folded.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(_SPACE))).withColumn("chars", whole(chars, np.int32)).withColumn("ids", whole(by_rank or [0], np.int32)).withColumn("bytes", whole([model.byte[i] for i in range(256)], np.int32))
+    single = "coalesce(get(chars, ascii(substring(marked, i + 1, 1))), 0)"
     if model.bpe:
-        folded = grouped.withColumn("wide", F.filter("edges", lambda x: x["e"] > x["s"] + 1)).withColumn("m", F.expr(_MERGE)).drop("wide")
+        s, e, rank = _S, _E, "cast(shiftright(x, 16) as int)"
+        folded = folded.withColumn("m", F.expr(_PASS)).withColumn("m", F.expr(f"if((m & {_LATE}) = 0, m, {_MERGE})"))
     else:
         # a character that is no piece costs more than any piece, so that it is only taken where it must be
-        worst = min((s for _, s, kind in model.pieces if kind == 1), default=0.0) - 10
-        lone = f"transform(filter(sequence(0, size - 1), i -> not exists(edges, x -> x.s = i and x.e = i + 1)), i -> struct({len(model.pieces)} as rank, i as s, i + 1 as e, cast(null as int) as id, double({worst}) as score, shiftleft(1L, i) | shiftleft(1L, i + 1) as ends, 0L as inner))"
-        folded = grouped.withColumn("edges", F.expr(f"concat(edges, {lone})")).withColumn("m", F.expr(_VITERBI))
-    # the edges between neighbouring boundaries are the codes, unless some character has none: then it is spelled in bytes
-    taken = "array_sort(transform(filter(edges, x -> (m & x.ends) = x.ends and (m & x.inner) = 0 and x.id is not null), x -> struct(x.s as s, x.id as id)))"
-    folded = folded.withColumn("taken", F.expr(taken))
-    folded = folded.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(_SPACE))).withColumn("bytes", F.lit([model.byte[i] for i in range(256)]).cast("array<int>"))
-    char = "cast(substring(marked, i + 1, 1) as binary)"
-    byte = f"transform(sequence(1, octet_length({char})), k -> get(bytes, cast(conv(hex(substring({char}, k, 1)), 16, 10) as int)))"
-    spelled = f"flatten(transform(filter(sequence(0, size - 1), i -> shiftright(m, i) & 1 = 1), i -> if(exists(taken, x -> x.s = i), array(get(filter(taken, x -> x.s = i), 0).id), {byte})))"
-    folded = folded.select("unit", *keep, F.expr(f"if(size(taken) = bit_count(m) - 1, transform(taken, x -> x.id), {spelled})").alias("codes"))
+        s, e, rank = "cast(shiftright(x, 32) & 255 as int)", "cast(shiftright(x, 40) as int)", "cast(x & 4294967295 as int)"
+        scores = [model.pieces[i][1] for i in by_rank]
+        folded = folded.withColumn("scores", whole([*scores, min(scores, default=0.0) - 10], np.float64))
+        lone = f"transform(filter(sequence(0, size - 1), i -> {single} = 0), i -> shiftleft(cast(i + 1 as bigint), 40) | shiftleft(cast(i as bigint), 32) | {len(by_rank)})"
+        folded = folded.withColumn("edges", F.expr(f"array_sort(concat(edges, {lone}))")).withColumn("m", F.expr(_VITERBI))
+    both = f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
+    inside = f"((shiftleft(1L, {e}) - 1) & ~(shiftleft(1L, {s} + 1) - 1))"
+    # a symbol is an edge with no boundary inside, or a character between two boundaries; one that is no piece is spelled in bytes
+    wide = f"transform(filter(edges, x -> {e} > {s} + 1 and (m & {both}) = {both} and (m & {inside}) = 0), x -> shiftleft(cast({s} as bigint), 32) | get(ids, {rank}))"
+    narrow = f"transform(filter(sequence(0, size - 1), i -> (shiftright(m, i) & 3) = 3), i -> shiftleft(cast(i as bigint), 32) | {single})"
+    folded = folded.withColumn("symbols", F.expr(f"array_sort(concat({wide}, {narrow}))"))
+    char = "cast(substring(marked, cast(shiftright(y, 32) as int) + 1, 1) as binary)"
+    spelled = f"transform(sequence(1, octet_length({char})), k -> get(bytes, cast(conv(hex(substring({char}, k, 1)), 16, 10) as int)))"
+    code = "cast(y & 4294967295 as int)"
+    codes = f"if(exists(symbols, y -> {code} = 0), flatten(transform(symbols, y -> if({code} = 0, {spelled}, array({code})))), transform(symbols, y -> {code}))"
+    folded = folded.select("unit", *keep, F.expr(codes).alias("codes"))
 
     @F.arrow_udf("array<int>")
     def merge_long(column: pa.Array) -> pa.Array:
         return pa.array([model.merge(u) if model.bpe else model.best_path(u) for u in column.to_pylist()], pa.list_(pa.int32()))
 
-    @F.arrow_udf("array<int>")
-    def spell_out(column: pa.Array) -> pa.Array:
-        return pa.array([[c for x in u for c in model.fallback(x)] for u in column.to_pylist()], pa.list_(pa.int32()))
-
-    known = "".join(sorted({c for p in model.ids if len(p) == 1 for c in p}))
-    strange = sized.filter((F.col("size") <= MAX_FOLD) & (F.length(F.translate("marked", known, "")) == F.col("size"))).select("unit", *keep, spell_out("marked").alias("codes"))
-    long_ = sized.filter(F.col("size") > MAX_FOLD).select("unit", *keep, merge_long("marked").alias("codes"))
-    return folded.unionByName(strange).unionByName(long_)
-
-
-class _Codes:
-    """Codes of units by their hash, from tables written by :func:`encode`."""
-
-    def __init__(self, tables: list[pa.Table]):
-        table = pa.concat_tables(tables).combine_chunks()
-        raw, offsets = K.text_bytes(table.column("unit"))
-        hashes = K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), offsets[:-1], offsets[1:])
-        codes = table.column("codes").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        size = np.asarray(pc.list_value_length(codes), dtype=np.int64)
-        self.size, self.start = size[order], (np.cumsum(size) - size)[order]
-        self.values = np.asarray(codes.flatten(), dtype=np.int32)
-
-    def encode(self, column: pa.Array, model: Model) -> pa.Array:
-        raw, starts, ends, first = units(column, model)
-        h = K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), starts, ends)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        if len(h) and not (len(self.hashes) and (self.hashes[at] == h).all()):
-            raise RuntimeError("the second scan has other partitions than the first")
-        size = self.size[at] if len(h) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1]) if len(h) else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(self.values[take]))
+    return folded.unionByName(sized.filter(F.col("size") > MAX_FOLD).select("unit", *keep, merge_long("marked").alias("codes")))
 
 
-def _read(path: str) -> pa.Table:
-    fs, at = open_fs(path)
-    return pads.dataset(at, filesystem=fs, format="parquet", schema=pa.schema([("unit", pa.string()), ("codes", pa.list_(pa.int32()))])).to_table() if fs.get_file_info(at).type.value else pa.table({"unit": pa.array([], pa.string()), "codes": pa.array([], pa.list_(pa.int32()))})
+_CODES = pa.schema([("unit", pa.string()), ("codes", pa.list_(pa.int32()))])
+_ANSWER = "part int, n int, numbers binary, check binary, sizes binary, codes binary"
+_ANSWERS = pa.schema([("n", pa.int32()), ("numbers", pa.binary()), ("check", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 
 
-def encode(docs: DataFrame, model: Model | None = None, scanned: bool = False) -> DataFrame:
-    """Rows (doc_id, text, codes) of all documents.
+def _answer(coded: tuple, kind: type):
+    """The codes of the units of every block, for the partition it came from."""
 
-    ``scanned`` tells that ``docs`` is a plain scan of files, which has the
-    same partitions each time; anything else is written first. A null text has
-    null codes, an empty one none. Rows that repeat are encoded one by one;
-    other columns are ignored; an empty table gives no rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = None
+        for batch in batches:
+            of, source = batch.column("part").to_pylist(), batch.column("source")
+            for i in range(batch.num_rows):
+                if of[i] != bucket:
+                    bucket = of[i]
+                    table = parts.get(coded, bucket, _CODES).combine_chunks()
+                    known = table.column("unit").combine_chunks() if len(table) else pa.array([], pa.string())
+                    lists = table.column("codes").combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
+                    hashes = _hashes(known)
+                    order = np.argsort(hashes)
+                words = batch.column("units").slice(i, 1).flatten()
+                h = _hashes(words)
+                at = order[np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)]
+                if not pc.all(pc.equal(known.take(pa.array(at)), words.cast(pa.string()))).as_py():
+                    raise RuntimeError("a unit has no codes")
+                codes = lists.take(pa.array(at))
+                sizes = np.asarray(pc.list_value_length(codes)).astype(np.uint32)
+                one = lambda x: pa.array([x.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([source.slice(i, 1), pa.array([len(h)], pa.int32()), batch.column("numbers").slice(i, 1), one(h.astype(np.uint8)), one(sizes), one(np.asarray(codes.flatten()).astype(kind))], names=["part", "n", "numbers", "check", "sizes", "codes"])
+
+    return run
+
+
+class _Encoder:
+    """Codes of the texts of a partition, from the answers to its blocks."""
+
+    def __init__(self, model: Model, where: tuple, kind: type):
+        table = parts.get(where, TaskContext.get().partitionId(), _ANSWERS)
+        column = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        number, check, size, values = column("numbers", np.uint32), column("check", np.uint8), column("sizes", np.uint32).astype(np.int64), column("codes", kind)
+        self.model, self.values, self.seen = model, values, _Numbers()
+        self.check, self.size, self.start = np.zeros(len(number), np.uint8), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        self.check[number], self.size[number], self.start[number] = check, size, np.cumsum(size) - size
+
+    def __call__(self, column: pa.Array) -> pa.Array:
+        raw, starts, ends, first = units(column, self.model)
+        h = K.span_hash(K.prefix_sums(K.BYTE_CODE[raw]), starts, ends)
+        number, new = self.seen.add(h)
+        if self.seen.count > len(self.size) or (self.check[self.seen.count - len(new) : self.seen.count] != h[new].astype(np.uint8)).any():
+            raise parts.Moved
+        size = self.size[number]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(self.start[number] - ends[:-1], size) + np.arange(ends[-1])
+        return pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(self.values[take].astype(np.int32)))
+
+
+def encode(docs: DataFrame, model: Model | None = None, restored: bool = False) -> DataFrame:
+    """Rows (doc_id, text, codes) of all documents; with ``restored`` rows (doc_id, codes, restored), which tells whether decoding gives the text again.
+
+    A null text has null codes and counts as restored, an empty one has none.
+    Space marks in texts are read as spaces. Rows that repeat are encoded one
+    by one; other columns are ignored; an empty table gives no rows.
     """
     spark, model = docs.sparkSession, model or Model()
-    docs = docs.select("doc_id", "text")
-    if not scanned:
-        docs = stash(docs, "texts")
-    found = stash(distinct_units(docs.select("text"), model).groupBy("unit").agg(F.collect_set("part").alias("parts")), "units")
-    count, parts = found.count(), docs.rdd.getNumPartitions()
-    coded_path = new_path(spark, "codes")
-    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(4 * FOLD_UNITS))
-    try:
-        spread = found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // FOLD_UNITS)), "unit")
-        encode_units(spark, spread, model, ["parts"]).write.parquet(coded_path)
-    finally:
-        spark.conf.set(setting, before)
-    coded = spark.read.parquet(coded_path)
-    shared, own = new_path(spark, "codes-shared"), new_path(spark, "codes-own")
-    common = F.size("parts") >= max(2, SHARED * parts)
-    coded.filter(common).select("unit", "codes").write.parquet(shared)
-    coded.filter(~common).select(F.explode("parts").alias("part"), "unit", "codes").repartition("part").write.partitionBy("part").parquet(own)
+    docs = parts.as_scan(docs.select("doc_id", "text"), "texts")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = np.uint16 if len(model.pieces) <= 1 << 16 else np.uint32
+    path, *_ = parts.put(docs.select("text").mapInArrow(_send(model, BUCKETS_A_PARTITION * partitions), _SENT), "units")
+    blocks = spark.read.schema(_SENT).parquet(path)
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    distinct = blocks.mapInArrow(_distinct, "bucket bigint, unit string").repartition(max(partitions, -(-total // FOLD_UNITS)), "unit").distinct()
+    coded = parts.put(encode_units(distinct, model, ["bucket"]).select(F.col("bucket").alias("part"), "unit", "codes"), "codes", pa.int64())
+    answers = parts.put(blocks.mapInArrow(_answer(coded, kind), _ANSWER), "answers")
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = None
+        encoder, decoder = None, _Decoder(model) if restored else None
         for batch in batches:
-            codes = codes or _Codes([_read(shared), _read(f"{own}/part={TaskContext.get().partitionId()}")])
+            encoder = encoder or _Encoder(model, answers, kind)
             for a, b in K.slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.if_else(pc.is_null(part.column(1)), None, codes.encode(part.column(1), model))], names=["doc_id", "text", "codes"])
+                ids, text = (c.slice(a, b - a) for c in batch.columns)
+                codes = encoder(text)
+                if decoder:
+                    same = pc.fill_null(pc.equal(decoder(codes), pc.replace_substring(text, _SPACE, " ")), True)
+                codes = pc.if_else(pc.is_null(text), None, codes)
+                if decoder:
+                    yield pa.RecordBatch.from_arrays([ids, codes, same], names=["doc_id", "codes", "restored"])
+                else:
+                    yield pa.RecordBatch.from_arrays([ids, text, codes], names=["doc_id", "text", "codes"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(look_up, f"doc_id {kind}, text string, codes array<int>")
+    kept = "codes array<int>, restored boolean" if restored else "text string, codes array<int>"
+    return docs.mapInArrow(look_up, f"doc_id {dict(docs.dtypes)['doc_id']}, {kept}")
 
 
-def decode(coded: DataFrame, model: Model | None = None, column: str = "codes", to: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its codes: control and unknown codes are nothing, null codes null. No shuffle.
+class _Decoder:
+    """Texts of lists of codes."""
 
-    Codes beyond the model raise; bytes that are not UTF-8 become replacement characters.
-    """
-    model = model or Model()
-    spelled = [b"" if kind in (2, 3) else bytes([int(p[1:-1], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() for p, _, kind in model.pieces]
+    def __init__(self, model: Model):
+        self.prefix = model.prefix
+        self.table = pa.array([b"" if kind in (2, 3) else bytes([int(p[1:-1], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() for p, _, kind in model.pieces], pa.large_binary())
 
-    def one(column: pa.Array, table: pa.Array) -> pa.Array:
+    def __call__(self, column: pa.Array) -> pa.Array:
         lists = pc.if_else(pc.is_null(column), pa.scalar([], column.type), column)
-        joined = table.take(lists.flatten())
+        joined = self.table.take(lists.flatten())
         ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(joined), dtype=np.int64))])
         bounds = ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])]
         raw = b"".join(joined.to_pylist()) if joined.offset else (joined.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-        parts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
         try:
-            text = parts.cast(pa.large_string())
+            text = whole.cast(pa.large_string())
         except pa.ArrowInvalid:
-            text = pa.array([x.decode("utf-8", "replace") for x in parts.to_pylist()], pa.large_string())
-        if model.prefix:
+            text = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+        if self.prefix:
             text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
         return pc.if_else(pc.is_null(column), None, text).cast(pa.string())
 
+
+def decode(coded: DataFrame, model: Model | None = None, column: str = "codes", to: str = "decoded") -> DataFrame:
+    """``coded`` with the text of its codes: control and unknown codes are nothing, null codes null. No shuffle.
+
+    Codes beyond the model raise; bytes that are not UTF-8 become replacement characters.
+    """
+    model = model or Model()
+
     @F.arrow_udf("string")
     def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = pa.array(spelled, pa.large_binary())
+        decoder = _Decoder(model)
         for batch in batches:
-            parts = [one(batch.slice(at, DECODE_ROWS), table) for at in range(0, len(batch), DECODE_ROWS)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            found = [decoder(batch.slice(at, DECODE_ROWS)) for at in range(0, len(batch), DECODE_ROWS)]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return coded.withColumn(to, spell(column))
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), scanned=True)
-    return decode(coded).select("doc_id", "codes", F.col("decoded").eqNullSafe(F.translate("text", _SPACE, " ")).alias("restored"))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), restored=True)

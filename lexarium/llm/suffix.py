@@ -92,7 +92,7 @@ def _number(x: np.ndarray) -> np.ndarray:
 class _Sorter:
     """The passes seen from a scan: which suffixes of a block are still in a group, and by what keys."""
 
-    def __init__(self, depths: tuple[int, ...], buckets: int, answers: list[tuple[str, int]], block_bytes: int):
+    def __init__(self, depths: tuple[int, ...], buckets: int, answers: list[tuple], block_bytes: int):
         self.depths, self.buckets, self.block_bytes = depths, buckets, block_bytes
         self.part = TaskContext.get().partitionId()
         self.bits = []
@@ -306,9 +306,9 @@ def _sorted(docs: DataFrame, window: int, depths: tuple[int, ...], block_bytes:
     buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     block_bytes = max(block_bytes, 6 * KEYS_A_BUCKET * buckets)
     texts = docs.select("doc_id", "text")
-    answers: list[tuple[str, int]] = []
+    answers: list[tuple] = []
 
-    def sorter_of(known: tuple[tuple[str, int], ...]):
+    def sorter_of(known: tuple[tuple, ...]):
         return lambda: _Sorter(depths, buckets, list(known), block_bytes)
 
     for level in range(len(depths)):
