@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
+
+import pytest
 
 import corpus_pipeline
 from lexarium.llm import line_dedup
@@ -50,6 +53,24 @@ def test_against_brute_force(spark):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_segments(spark, hot):
+    """With hardly any pair allowed a key, all go through the levels of more segments; none is lost."""
+    r = random.Random(9)
+    base = [prose(i, n) for i, n in enumerate((5, 14, 15, 30))]
+    lines = [x for b in base for x in [b, *(b[:k] + r.choice(["", "q", "zz", "é"]) + b[k + r.randrange(2) :] for k in (r.randrange(len(b)) for _ in range(12)))]]
+    lines = sorted({x for x in lines if len(x.encode()) >= 24})
+    docs = documents(spark, ["\n".join(lines)])
+    ids = {spark.sql("select xxhash64(:x) & ~1L", args={"x": x}).first()[0]: x.encode() for x in lines}
+    got = {(r["a"], r["b"]): r["distance"] for r in line_dedup.near_lines(docs, hot_pairs=hot).collect()}
+    want = {}
+    for a, b in combinations(sorted(ids), 2):
+        x, y = ids[a], ids[b]
+        if (d := distance(x, y)) <= tau(max(len(x), len(y))):
+            want[a, b] = d
+    assert want and got == want
+
+
 def test_distance():
     r = random.Random(1)
     words = ["".join(r.choice("abc") for _ in range(r.randrange(9))).encode() for _ in range(60)]
