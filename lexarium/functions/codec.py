@@ -12,6 +12,7 @@ import hashlib
 import lzma
 import struct
 import zlib
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,7 +21,10 @@ from pyspark.sql.types import LongType
 
 from lexarium.errors import DecompressionFailed, InvalidFormat, Unsupported
 
+from . import lzo
+
 LIMIT = 128 << 20
+CHUNK = 8 << 10
 LEVELS = {"none": (0, 1, 1), "gzip": (9, 9, 6), "lz4": (0, 1, 1), "zstd": (19, 19, 6)}  # clamp (0: as given), most, suggested
 
 
@@ -59,6 +63,8 @@ def decompress_bytes(data: bytes, algorithm: str = "gzip", limit: int = LIMIT) -
         elif algorithm in ("lz4", "zstd"):
             with pa.CompressedInputStream(pa.BufferReader(data), algorithm) as stream:
                 out = stream.read(limit + 1)
+        elif algorithm == "lzo":
+            out = lzo.decompress(data, limit)
         elif algorithm == "bz2":
             stream = bz2.BZ2Decompressor()
             out = stream.decompress(data, limit + 1)
@@ -75,6 +81,55 @@ def decompress_bytes(data: bytes, algorithm: str = "gzip", limit: int = LIMIT) -
     return out
 
 
+def compress_stream(source: BinaryIO, target: BinaryIO, algorithm: str = "gzip", chunk: int = CHUNK) -> int:
+    """Compress all of ``source`` into ``target``, a chunk at a time; the number of bytes read."""
+    if algorithm not in LEVELS:
+        raise Unsupported(algorithm)
+    if algorithm == "none":
+        return _pump(source, target, chunk)
+    with pa.CompressedOutputStream(pa.PythonFile(_Open(target), mode="w"), algorithm) as stream:
+        return _pump(source, stream, chunk)
+
+
+def decompress_stream(source: BinaryIO, target: BinaryIO, algorithm: str = "gzip", chunk: int = CHUNK) -> int:
+    """Restore what :func:`compress_stream` wrote; the number of bytes written."""
+    if algorithm not in LEVELS:
+        raise Unsupported(algorithm)
+    if algorithm == "none":
+        return _pump(source, target, chunk)
+    try:
+        with pa.CompressedInputStream(pa.PythonFile(source, mode="r"), algorithm) as stream:
+            return _pump(stream, target, chunk)
+    except OSError as e:
+        raise DecompressionFailed(str(e)) from e
+
+
+def _pump(source, target, chunk: int) -> int:
+    total = 0
+    while data := source.read(chunk):
+        target.write(data)
+        total += len(data)
+    return total
+
+
+class _Open:
+    """A file that the stream around it does not close."""
+
+    closed = False
+
+    def __init__(self, file):
+        self.file = file
+
+    def write(self, data) -> int:
+        return self.file.write(bytes(data))
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
 def compress(data: Column | str, algorithm: str = "gzip", level: int | None = None) -> Column:
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:

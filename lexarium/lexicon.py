@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexarium.errors import IndexMissing
 from lexarium.operators import index as fts
@@ -15,8 +16,8 @@ from lexarium.sources import lexicon_source, sinks
 class Lexicon:
     """Entries and, once built or loaded, a full-text index."""
 
-    def __init__(self, entries: DataFrame, index: fts.FtsIndex | None = None):
-        self.entries, self.index = entries, index
+    def __init__(self, entries: DataFrame, index: fts.FtsIndex | None = None, path: str | None = None):
+        self.entries, self.index, self.path = entries, index, path
 
     @classmethod
     def open(cls, spark: SparkSession, *paths: str, **options) -> Lexicon:
@@ -29,7 +30,34 @@ class Lexicon:
             index = fts.load(spark, f"{path}/index")
         except IndexMissing:
             index = None
-        return cls(spark.read.parquet(f"{path}/entries"), index)
+        return cls(spark.read.parquet(f"{path}/entries"), index, path)
+
+    def reload(self) -> Lexicon:
+        """The same saved lexicon as it now is on disk; nothing that was read before is kept."""
+        if self.path is None:
+            raise IndexMissing("the lexicon is not saved")
+        self.clear_cache()
+        return Lexicon.load(self.entries.sparkSession, self.path)
+
+    def clear_cache(self) -> None:
+        """Let go of cached tables and of what is known about the files."""
+        for table in [self.entries, *([self.index.docs, self.index.postings, self.index.terms] if self.index else [])]:
+            table.unpersist()
+        if self.path is not None:
+            self.entries.sparkSession.catalog.refreshByPath(self.path)
+
+    @property
+    def built(self) -> bool:
+        """Whether both the entries by key and the full-text index are there."""
+        return self.index is not None and self.index.built and not self.entries.isEmpty()
+
+    def clear_index(self) -> Lexicon:
+        return Lexicon(self.entries, None, self.path)
+
+    def verify(self) -> DataFrame:
+        """Rows (problem, n) over keys and index; all n are 0 where nothing is wrong."""
+        found = search.integrity(self.entries).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+        return found if self.index is None else found.union(fts.validate(self.index))
 
     def save(self, path: str, with_index: bool = True) -> Lexicon:
         sinks.save_lexicon(self.entries, path, with_index)
@@ -82,5 +110,7 @@ class Lexicon:
         return search.integrity(self.entries)
 
     @staticmethod
-    def merge(parts: Sequence[Lexicon], name: str | None = None) -> Lexicon:
-        return Lexicon(search.merge([p.entries for p in parts], name).drop("source_dict"))
+    def merge(parts: Sequence[Lexicon], name: str | None = None, path: str | None = None) -> Lexicon:
+        """One lexicon of all; with ``path`` its entries and its index are written there in one go."""
+        merged = Lexicon(search.merge([p.entries for p in parts], name).drop("source_dict"))
+        return merged if path is None else merged.save(path)

@@ -1,7 +1,9 @@
 """The full-text index: tables of documents, postings and terms, built in one pass and kept as Parquet.
 
-Postings are range-partitioned by term and sorted, so the terms of a query
-prune row groups; texts stay out of them.
+Saved postings lie in folders by hash of the term and are sorted inside, so the
+terms of a query choose folders and prune row groups; texts stay out of them. A
+term is dealt to ``SALTS`` folders by document, so that a very frequent one is no
+single task.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ import json
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.errors import IndexMissing, InvalidFormat
 from lexarium.functions.text import MAX_TERM_BYTES, MIN_TERM_BYTES, tokenize
+from lexarium.model import DOCS, POSTINGS, TERMS, spread
 
-VERSION = 1
+VERSION = 2
+SALTS = 4
 
 
 @dataclass
@@ -37,6 +41,8 @@ class FtsIndex:
     postings: DataFrame
     terms: DataFrame
     settings: Settings
+    buckets: int = 0  # folders of the postings, where they are saved
+    tokens: DataFrame | None = None  # where it is not saved yet
 
     @property
     def built(self) -> bool:
@@ -46,25 +52,40 @@ class FtsIndex:
 def build(lex: DataFrame, stop_words: Iterable[str] = (), min_bytes: int = MIN_TERM_BYTES, max_bytes: int = MAX_TERM_BYTES) -> FtsIndex:
     """The index of a lexicon; every row is a document of its own, with ``ord`` as its number. Documents without terms count."""
     settings = Settings(sorted(set(stop_words)), min_bytes, max_bytes)
+    lex = spread(lex)
     tokens = lex.select("dict_id", F.col("ord").alias("doc_id"), "key", settings.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     docs = tokens.select("dict_id", "doc_id", "key", F.size("t").cast("bigint").alias("doc_length"))
     each = tokens.select("dict_id", "doc_id", F.posexplode("t").alias("pos", "term"))
     postings = each.groupBy("dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return FtsIndex(docs, postings, _terms(each.groupBy("dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))), settings)
+    return FtsIndex(docs, postings, _terms(each.groupBy("dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))), settings, tokens=each)
 
 
 def _terms(counts: DataFrame) -> DataFrame:
     return counts.groupBy("dict_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def bucket_of(term: Column, salt: Column, buckets: int) -> Column:
+    """The folder of a posting."""
+    return F.pmod(F.xxhash64(term) + salt, F.lit(buckets))
+
+
 def save(index: FtsIndex, path: str) -> FtsIndex:
-    """Write the index; its terms are counted from the postings as written, so texts are tokenised once for both."""
+    """Write the index; document lengths and terms are counted from the postings as written, so texts are tokenised once."""
     spark = index.docs.sparkSession
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartitionByRange("term", "dict_id", "doc_id").sortWithinPartitions("term", "dict_id", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    _terms(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    meta = json.dumps({"version": VERSION, "settings": asdict(index.settings)})
+    buckets = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if index.tokens is None:
+        placed = index.postings.withColumn("bucket", bucket_of(F.col("term"), F.pmod(F.col("doc_id"), F.lit(SALTS)), buckets)).repartition(buckets, "bucket")
+    else:
+        each = index.tokens.withColumn("bucket", bucket_of(F.col("term"), F.pmod(F.col("doc_id"), F.lit(SALTS)), buckets)).repartition(buckets, "bucket")
+        placed = each.groupBy("bucket", "dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    order = ["bucket", "term", "dict_id", "doc_id"]
+    placed.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    written = spark.read.schema(f"{POSTINGS}, bucket bigint").parquet(f"{path}/postings")
+    _terms(written.select("dict_id", "term", "tf")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    lengths = written.groupBy("dict_id", "doc_id").agg(F.sum("tf").alias("doc_length"))
+    docs = index.docs.select("dict_id", "doc_id", "key").join(lengths, ["dict_id", "doc_id"], "left").withColumn("doc_length", F.coalesce("doc_length", F.lit(0)).cast("bigint"))
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    meta = json.dumps({"version": VERSION, "settings": asdict(index.settings), "buckets": buckets})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return load(spark, path)
 
@@ -76,8 +97,9 @@ def load(spark: SparkSession, path: str) -> FtsIndex:
         raise IndexMissing(f"no index at {path}") from e
     if meta.get("version") != VERSION:
         raise InvalidFormat(f"index version {meta.get('version')}, not {VERSION}")
-    tables = (spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms"))
-    return FtsIndex(*tables, Settings(**meta["settings"]))
+    schemas = {"docs": DOCS, "postings": f"{POSTINGS}, bucket bigint", "terms": TERMS}
+    tables = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items())
+    return FtsIndex(*tables, Settings(**meta["settings"]), meta["buckets"])
 
 
 def validate(index: FtsIndex) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexarium.errors import IndexMissing
+from lexarium.workdir import new_path
 
 PREFIX_LIMIT = 100
 BROADCAST_KEYS = 100_000
@@ -108,13 +109,20 @@ def upper_bound(lex: DataFrame, key: str) -> DataFrame:
     return lex.filter(F.col("key") <= key).agg(F.countDistinct("key").alias("position"))
 
 
+def _last_of(lex: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the entries ``found`` by their text those that are the last of their key: only keys and what was found is shuffled."""
+    key = ["dict_id", "key"]
+    last = lex.select(*key, "ord").join(found.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.max("ord").alias("ord"))
+    return latest(found.join(last, [*key, "ord"], "left_semi"))
+
+
 def substring(lex: DataFrame, part: str) -> DataFrame:
     """Entries whose text has ``part`` in it, whatever the case."""
-    return latest(lex).filter(F.contains(F.lower("text"), F.lower(F.lit(part))))
+    return _last_of(lex, lex.filter(F.contains(F.lower("text"), F.lower(F.lit(part)))))
 
 
 def key_or_text(lex: DataFrame, part: str) -> DataFrame:
-    return latest(lex).filter(F.contains("key", F.lit(part)) | F.contains("text", F.lit(part)))
+    return _last_of(lex, lex.filter(F.contains("key", F.lit(part)) | F.contains("text", F.lit(part))))
 
 
 def write_sorted(lex: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -124,9 +132,21 @@ def write_sorted(lex: DataFrame, path: str, partitions: int | None = None) -> No
 
 
 def out_of_order(lex: DataFrame, order: Column | str = "ord") -> DataFrame:
-    """Entries whose key is not above the one before it: none in a valid key index."""
-    before = F.lag("key").over(W.partitionBy("dict_id").orderBy(order))
-    return lex.withColumn("before", before).filter(F.col("before") >= F.col("key"))
+    """Rows (dict_id, ord, key, before) of entries whose key is not above the one before it: none in a valid key index.
+
+    Keys are dealt to ranges of that order, written once, and compared inside
+    each range; then the last key of a range with the first of the next.
+    """
+    path = new_path(lex.sparkSession, "order")
+    ranged = lex.select("dict_id", "ord", "key", F.col(order).alias("__at") if isinstance(order, str) else order.alias("__at")).repartitionByRange("dict_id", "__at")
+    ranged.withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    written = lex.sparkSession.read.parquet(path)
+    inside = written.withColumn("before", F.lag("key").over(W.partitionBy("dict_id", "__range").orderBy("__at")))
+    edges = written.groupBy("dict_id", "__range").agg(F.min(F.struct("__at", "ord", "key")).alias("head"), F.max_by("key", "__at").alias("last"))
+    # a row for each dictionary and range
+    edges = edges.withColumn("before", F.lag("last").over(W.partitionBy("dict_id").orderBy("__range")))
+    every = inside.select("dict_id", "ord", "key", "before").union(edges.select("dict_id", "head.ord", "head.key", "before"))
+    return every.filter(F.col("before") >= F.col("key"))
 
 
 def follow_links(lex: DataFrame, most: int = 8) -> DataFrame:

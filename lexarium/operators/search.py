@@ -30,6 +30,14 @@ def query_tokens(spark: SparkSession, index: fts.FtsIndex, query: str) -> list[s
     return sorted(found.first()["t"])
 
 
+def _buckets(spark: SparkSession, index: fts.FtsIndex, tokens: list[str]) -> list[int]:
+    """The folders in which the postings of these terms lie; again a plan that is folded."""
+    if not tokens:
+        return []
+    each = [fts.bucket_of(F.lit(t), F.lit(salt), index.buckets) for t in tokens for salt in range(fts.SALTS)]
+    return sorted(set(spark.range(1).select(F.array(*each).alias("b")).first()["b"]))
+
+
 def fulltext(index: fts.FtsIndex, query: str, limit: int | None = None) -> DataFrame:
     """Rows (dict_id, doc_id, key, score) of documents with any term of the query, best first, ties by doc_id.
 
@@ -40,10 +48,12 @@ def fulltext(index: fts.FtsIndex, query: str, limit: int | None = None) -> DataF
     spark = index.docs.sparkSession
     tokens = query_tokens(spark, index, query)
     hits = index.postings.filter(F.col("term").isin(tokens))
+    if index.buckets:
+        hits = hits.filter(F.col("bucket").isin(_buckets(spark, index, tokens)))
     terms = index.terms.filter(F.col("term").isin(tokens)).select("dict_id", "term", "df")
     sizes = index.docs.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n"))
-    # no more rows than dictionaries times query terms
-    weights = F.broadcast(terms.join(sizes, "dict_id").select("dict_id", "term", (F.log(F.col("n") / (F.col("df") + 1)) + 1).alias("idf")))
+    # a row for each dictionary and query term; whether that is little enough to be broadcast is seen when it is there
+    weights = terms.join(sizes, "dict_id").select("dict_id", "term", (F.log(F.col("n") / (F.col("df") + 1)) + 1).alias("idf"))
     scored = hits.join(weights, ["dict_id", "term"]).groupBy("dict_id", "doc_id").agg(F.sum(F.col("idf") * (1 + F.log("tf"))).alias("score"))
     named = scored.join(index.docs.select("dict_id", "doc_id", "key"), ["dict_id", "doc_id"])
     out = named.select("dict_id", "doc_id", "key", F.round("score", DIGITS).alias("score")).orderBy(F.desc("score"), "dict_id", "doc_id")
@@ -53,7 +63,7 @@ def fulltext(index: fts.FtsIndex, query: str, limit: int | None = None) -> DataF
 def fulltext_many(index: fts.FtsIndex, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Rows (query_id, dict_id, doc_id, key, score, rank): the ``limit`` best documents of every query (query_id, query)."""
     asked = queries.select("query_id", F.explode(F.array_distinct(index.settings.tokens("query"))).alias("term"))
-    sizes = F.broadcast(index.docs.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n")))
+    sizes = index.docs.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n"))
     weights = index.terms.join(sizes, "dict_id").select("dict_id", "term", (F.log(F.col("n") / (F.col("df") + 1)) + 1).alias("idf"))
     hits = asked.join(weights, "term").join(index.postings.select("dict_id", "term", "doc_id", "tf"), ["dict_id", "term"])
     scored = hits.groupBy("query_id", "dict_id", "doc_id").agg(F.round(F.sum(F.col("idf") * (1 + F.log("tf"))), DIGITS).alias("score"))

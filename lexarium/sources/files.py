@@ -31,6 +31,12 @@ def read(path: str, start: int = 0, length: int | None = None) -> bytes:
         return f.read(length) if length is not None else f.read()
 
 
+def beside(path: str) -> list[str]:
+    """The files of the folder that share the stem of ``path``, with it."""
+    stem = path.rsplit(".", 1)[0]
+    return [f for f in listing(path.rsplit("/", 1)[0]) if f.startswith(stem + ".")]
+
+
 def listing(path: str) -> list[str]:
     """The files of a folder, not of those below it, by name; a file itself."""
     fs, at = locate(path)

@@ -448,7 +448,7 @@ class MDict:
         elif kind == b"\2\0\0\0":
             out = decompress_bytes(data[8:], "zlib", max(size, 1))
         elif kind == b"\1\0\0\0":
-            raise Unsupported("LZO blocks")
+            out = decompress_bytes(data[8:], "lzo", max(size, 1))
         else:
             raise InvalidFormat(f"block type {kind.hex()}")
         if len(out) != size:
@@ -526,7 +526,7 @@ class MDict:
     def metadata(self) -> dict:
         a = self.attributes
         title = self.attributes.get("Title", "")
-        return {"name": title if len(title) >= 5 else _stem(self.path), "version": str(self.version), "entries": self.count, "description": a.get("Description"), "author": None, "created": a.get("CreationDate"), "language": a.get("DictCharset") or a.get("Encoding"), "file_size": files.size(self.path)}
+        return {"name": title if len(title) >= 5 else _stem(self.path), "version": str(self.version), "entries": self.count, "description": a.get("Description"), "author": None, "created": a.get("CreationDate"), "language": a.get("DictCharset") or a.get("Encoding"), "file_size": files.size(self.path), "right_to_left": a.get("Left2Right", "Yes") != "Yes"}
 
     def rows(self) -> int:
         return len(self.records)

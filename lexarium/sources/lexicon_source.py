@@ -1,7 +1,7 @@
 """``spark.read.format("lexicon")``: dictionaries of all formats as one table.
 
-Every dictionary is shared out to ``partitions`` tasks by ordinal (by record
-block for MDict). The options ``key``, ``keyPrefix`` and ``dictId`` keep only
+A dictionary is shared out by ordinal (by record block for MDict) to as many
+tasks as its bytes ask for, or as the option ``partitions`` tells. The options ``key``, ``keyPrefix`` and ``dictId`` keep only
 such entries: keys are tested before an entry becomes a row, dictionaries before
 a file is opened. (They are options since Spark 4.1 keeps the filters it pushed
 into a Python source with the relation, so that a second query over the same
@@ -23,10 +23,16 @@ from lexarium.functions.encoding import convert, detect
 from lexarium.model import LEXICON, METADATA
 
 from . import files
-from .formats import FORMATS, detect_format, is_valid, open_dictionary, scan_directory
+from .formats import FORMATS, detect_format, dsl_tags, is_valid, open_dictionary, scan_directory
 
 _SCHEMA = pa.schema([("dict_id", pa.string()), ("ord", pa.int64()), ("key", pa.string()), ("entry", pa.binary()), ("text", pa.string())])
+_TAGS = pa.struct([("plain", pa.string()), ("has_media", pa.bool_()), ("has_transcription", pa.bool_()), ("margin_tags", pa.list_(pa.string()))])
 _BATCH_ROWS, _BATCH_BYTES = 4096, 8 << 20
+#: A dictionary of less is one task, which alone opens it; a larger one has a task for every so many bytes.
+TASK_BYTES = 16 << 20
+
+
+_ALL = 1 << 62
 
 
 @dataclass
@@ -57,7 +63,7 @@ class LexiconReader(DataSourceReader):
     def __init__(self, options: dict[str, str], format_: str | None):
         self.paths = [p for p in options["path"].split(",") if p]
         self.format = options.get("dictionaryformat", format_)
-        self.tasks = max(1, int(options.get("partitions", 8)))
+        self.tasks = int(options.get("partitions", 0))
         self.strict = options.get("strict", "true").lower() == "true"
         self.key, self.start, self.dict_id = options.get("key"), options.get("keyprefix", ""), options.get("dictid")
 
@@ -75,8 +81,14 @@ class LexiconReader(DataSourceReader):
             for name, kind in found:
                 if self.dict_id not in (None, dictionary_id(name)):
                     continue
+                tasks = self.tasks or -(-files.size(name) // TASK_BYTES)
+                if kind == "stardict" and not self.tasks:
+                    tasks = -(-sum(files.size(f) for f in files.beside(name)) // TASK_BYTES)
+                if tasks <= 1:
+                    out.append(Slice(name, kind, dictionary_id(name), 0, _ALL))
+                    continue
                 rows = open_dictionary(name, kind, self.strict).rows()
-                step = max(1, -(-rows // self.tasks))
+                step = max(1, -(-rows // tasks))
                 out += [Slice(name, kind, dictionary_id(name), s, s + step) for s in range(0, rows, step)]
         return out or [Slice("", "", "", 0, 0)]
 
@@ -153,6 +165,17 @@ def metadata(spark: SparkSession, *paths: str, format: str | None = None) -> Dat
     return spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], METADATA)
 
 
+def dsl_cards(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows (dict_id, key, body, plain, has_media, has_transcription, margin_tags) of the cards of DSL files: what their tags tell."""
+    cards = load(spark, *paths, format="dsl").select("dict_id", "key", F.col("text").alias("body"))
+
+    def tags(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else dsl_tags(x) for x in column.to_pylist()], _TAGS)
+
+    told = F.arrow_udf(tags, "struct<plain:string,has_media:boolean,has_transcription:boolean,margin_tags:array<string>>")
+    return cards.withColumn("x", told("body")).select("dict_id", "key", "body", "x.*")
+
+
 def supported_formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f,) for f in FORMATS], "format string")
 

@@ -174,5 +174,5 @@ def remove_dictionary(path: str) -> list[str]:
 def pairs(n: int, spark) -> DataFrame:
     """The entries ``word_000000`` and on, to try things with."""
     key = F.format_string("word_%06d", "id")
-    text = F.concat(F.lit("Definition for word "), F.col("id").cast("string"), F.lit(": This is a test definition that contains multiple words for testing full text search functionality."))
+    text = F.concat(F.lit("Definition for word "), F.col("id").cast("string"), F.lit(": some words to look up, number after number."))
     return spark.range(n).select(F.lit("generated").alias("dict_id"), F.col("id").alias("ord"), key.alias("key"), F.encode(text, "UTF-8").alias("entry"), text.alias("text"))
