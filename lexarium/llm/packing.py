@@ -112,7 +112,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, nearly
     is cut into full pieces and a remainder. Null, empty and blank texts have
     no tokens and appear in no bin. A null doc_id is packed and stays null.
     Repeated rows are packed once each. Other columns are ignored. An empty
-    table gives no rows.
+    table gives no rows. Which documents share a bin depends on how the table
+    is split into partitions; that every token has its place does not.
     """
     sized = docs.select(
         F.spark_partition_id().cast("bigint").alias("part"),

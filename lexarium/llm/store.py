@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests.
+
+    On a cluster it has to be set: a folder of one machine would not be shared.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexarium-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

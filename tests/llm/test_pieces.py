@@ -62,3 +62,24 @@ def test_viterbi_for_unigram_models(spark):
 def test_empty(spark):
     assert pieces.encode(documents(spark, [])).isEmpty()
     assert [r["codes"] for r in pieces.encode(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [None, []]
+
+
+def test_repeated_rows_and_codes_beyond_the_model(spark):
+    model = pieces.Model.of([("▁a", -1.0), ("b", -2.0), ("a", -3.0), ("▁", -4.0)], bpe=True)
+    docs = spark.createDataFrame([(1, "ab b"), (1, "ab b"), (None, "ab b"), (2, None)], "doc_id bigint, text string")
+    rows = [(r["doc_id"], r["codes"]) for r in pieces.encode(docs, model).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [(1, c := model.merge("▁ab▁b")), (1, c), (None, c), (2, None)]))
+    assert {r["restored"] for r in pieces.encode(docs, model, restored=True).collect()} == {True}
+    odd = spark.createDataFrame([(1, [10**6])], "doc_id bigint, codes array<int>")
+    with pytest.raises(Exception, match="(?i)index|bounds"):
+        pieces.decode(odd, model).collect()
+
+
+def test_one_pass_is_as_good_as_merging_step_by_step(spark):
+    """Pieces in an order that no training gives, so that edges are often wanted after their turn."""
+    r = random.Random(11)
+    names = list({"".join(r.choice("abc") for _ in range(r.randrange(2, 6))) for _ in range(60)})
+    model = pieces.Model.of([(p, -float(i)) for i, p in enumerate([*names, "a", "b", "▁"])], bpe=True)
+    given = ["".join(r.choice("aabbc ") for _ in range(r.randrange(1, 70))) for _ in range(300)]
+    for row in pieces.encode(documents(spark, given), model).collect():
+        assert row["codes"] == model.merge(("▁" + row["text"]).replace(" ", "▁")), row["text"]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from lexarium.llm import suffix
+from lexarium.llm import parts, suffix
 
 from .helpers import ODD, documents, prose
 
@@ -68,3 +68,30 @@ def test_small(spark):
     t = prose(3, 60)
     docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id bigint, text string")
     assert suffix.repeated_spans(docs).isEmpty() and suffix.drop_spans(docs).count() == 4
+
+
+def test_hot_copies_and_partitions(spark, tmp_path):
+    """A third of all documents is one text; read from several files, in blocks of few documents."""
+    hot = prose(20, 120)
+    texts = [hot if i % 3 == 0 else prose(1000 + i, 80) + (" " + hot if i % 10 == 1 else "") for i in range(90)]
+    documents(spark, texts, extra=True).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert parts.as_scan(docs, "x") is docs and parts.as_scan(docs.repartition(2), "x").count() == 90
+    got = sorted((r["doc_id"], r["start"], r["end"], r["of_doc_id"]) for r in suffix.op8_suffix_array_dedup(spark, str(tmp_path)).collect())
+    assert got == brute(texts)
+    kept = {r["doc_id"]: r["text"] for r in suffix.drop_spans(docs).collect()}
+    assert kept[0] == hot and not any(i in kept for i in range(3, 90, 3)) and hot not in kept[1] and kept[2] == texts[2]
+
+
+def test_moved_partitions_start_over():
+    tries = []
+
+    def make():
+        tries.append(1)
+        if len(tries) < 3:
+            raise RuntimeError(f"a task failed: {parts.Moved()}")
+        return "done"
+
+    assert parts.settled(make) == "done" and len(tries) == 3
+    with pytest.raises(ValueError):
+        parts.settled(lambda: int("x"))
