@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import fresh, stash
+from .store import fresh, spread, stash
 
 MIN_BYTES = 24
 #: Of lines of any length, so that equal short ones go too: what the query and the pipeline compare.
@@ -375,7 +375,7 @@ def drop_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), ALL_LINES)
+    return duplicate_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), ALL_LINES)
 
 
 OP10_SQL = r"""

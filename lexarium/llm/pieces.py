@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import parts
+from .store import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_FOLD = 62
@@ -471,4 +472,4 @@ def decode(coded: DataFrame, model: Model | None = None, column: str = "codes",
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), restored=True)
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), restored=True)

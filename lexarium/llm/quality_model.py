@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import spread
 
 FIT_ROWS = 8_000
 BUCKETS = 1 << 15
@@ -198,4 +199,4 @@ def rated(docs: DataFrame, labels: DataFrame, keep: float = KEEP, fit_rows: int
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return rated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rated(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
+from .store import spread
 
 COMMON = 64
 MIN_CHARS, MIN_WORDS = 200, 50
@@ -136,7 +137,7 @@ def judged(docs: DataFrame, max_chars: float = MAX_CHAR_DISTANCE, max_words: flo
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 _LISTED = ", ".join(

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import parts
-from .store import stash
+from .store import spread, stash
 
 WINDOW = 50
 #: Tokens sorted after each pass; the last is the window.
@@ -413,7 +413,7 @@ def drop_spans(docs: DataFrame, window: int = WINDOW, depths: tuple[int, ...] =
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 OP8_SQL = r"""

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import spread
 
 FIT_ROWS = 10_000
 MIN_CONTEXTS = 12
@@ -377,4 +378,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    return rejected(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rejected(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
