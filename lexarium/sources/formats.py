@@ -11,6 +11,9 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 
 from lexarium.errors import ChecksumMismatch, InvalidFormat, NotFound, Unsupported
 from lexarium.functions.codec import Reader, decompress_bytes
@@ -26,6 +29,16 @@ FORMATS = ("mdict", "stardict", "zim", "dsl", "bgl")
 _IFO = b"StarDict's dict"
 
 
+@dataclass
+class Window:
+    """Entries from ``start`` to ``end`` and, where it is known, the stretch of the file that tells them."""
+
+    start: int
+    end: int
+    byte: int | None = None
+    stop: int | None = None
+
+
 def _stem(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     for tail in (".dict.dz", ".dsl.dz"):
@@ -91,22 +104,33 @@ def scan_directory(path: str) -> list[tuple[str, str]]:
 
 
 class StarDict:
-    """An .ifo with its .idx, .dict and .syn. Of keys that repeat the last is the entry; synonyms never replace a key."""
+    """An .ifo with its .idx, .dict and .syn. Of keys that repeat the last is the entry; synonyms never replace a key.
 
-    def __init__(self, path: str):
+    With a ``window`` from :meth:`cuts` only that stretch of the .idx is read.
+    """
+
+    def __init__(self, path: str, window: Window | None = None):
         low = path.lower()
         base = path[: -len(".dict.dz")] if low.endswith(".dict.dz") else path.rsplit(".", 1)[0]
         self.path = path if low.endswith(".ifo") else self._find(base, ("ifo",))
         self.base = self.path.rsplit(".", 1)[0]
         self.info = self._ifo(files.read(self.path))
         self.dict_path = self._find(self.base, ("dict", "dict.dz"))
-        idx = self._packed(self._find(self.base, ("idx", "idx.gz", "idx.dz")))
+        idx_path = self._find(self.base, ("idx", "idx.gz", "idx.dz"))
+        idx = files.read(idx_path, window.byte, window.stop - window.byte) if window else self._packed(idx_path)
+        self.first = window.start if window else 0
         self.places: list[tuple[str, int, int]] = []
+        self.bytes: list[int] | None = None if idx_path.lower().endswith(("gz", "dz")) else []
         at = 0
         while (end := idx.find(b"\0", at)) >= 0 and end + 9 <= len(idx):
             self.places.append((idx[at:end].decode("utf-8", "replace"), *struct.unpack_from(">II", idx, end + 1)))
+            if self.bytes is not None:
+                self.bytes.append(at)
             at = end + 9
+        self.size = at
         self.synonyms: list[tuple[str, int]] = []
+        if window:
+            return
         try:
             syn = self._packed(self._find(self.base, ("syn", "syn.gz", "syn.dz")))
         except NotFound:
@@ -153,21 +177,34 @@ class StarDict:
     def rows(self) -> int:
         return len(self.places) + len(self.synonyms)
 
+    def cuts(self, step: int) -> list[Window]:
+        """Stretches of ``step`` entries; those of synonyms need the whole index."""
+        n = len(self.places)
+        out = []
+        for at in range(0, n, step):
+            end = min(at + step, n)
+            out.append(Window(at, end, self.bytes[at], self.bytes[end] if end < n else self.size) if self.bytes is not None else Window(at, end))
+        return out + [Window(at, min(at + step, self.rows())) for at in range(n, self.rows(), step)]
+
     def entries(self, start: int, end: int) -> Iterator[Entry]:
         """Entries by ordinal: those of the index, then synonyms that are no key."""
-        data = self._packed(self.dict_path) if self.dict_path.lower().endswith(".dz") else None
+        start, end = start - self.first, end - self.first
+        data, low = (self._packed(self.dict_path) if self.dict_path.lower().endswith(".dz") else None), 0
 
         def body(offset: int, size: int) -> bytes:
-            raw = files.read(self.dict_path, offset, size) if data is None else data[offset : offset + size]
+            raw = files.read(self.dict_path, offset, size) if data is None or offset < low or offset + size > low + len(data) else data[offset - low : offset - low + size]
             if len(raw) < size:
                 raise InvalidFormat(f"entry at {offset} ends beyond the data")
             return raw
 
-        if data is None and start < end and end - start > 64:
-            data = files.read(self.dict_path)
-        for at in range(start, min(end, len(self.places))):
-            key, offset, size = self.places[at]
-            yield at, key, body(offset, size)
+        own = self.places[start:end]
+        if data is None and len(own) > 64:
+            # entries mostly lie in the order of their keys, so one stretch has them all
+            low, high = min(o for _, o, _ in own), max(o + n for _, o, n in own)
+            if high - low <= 4 * sum(n for _, _, n in own) + (1 << 20):
+                data = files.read(self.dict_path, low, high - low)
+        for at, (key, offset, size) in enumerate(own, start):
+            yield at + self.first, key, body(offset, size)
         if end > len(self.places):
             known = {k for k, _, _ in self.places}
             seen: dict[str, int] = {}
@@ -285,7 +322,8 @@ class Dsl:
 class Bgl:
     """An index file ``BGLX``: a header and articles of three strings each. Raw .bgl files are not read."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, window: Window | None = None):
+        self.window = window
         if not path.lower().endswith((".bglx", ".idx")):
             for tail in (".bglx", ".idx"):
                 if files.exists(path.rsplit(".", 1)[0] + tail):
@@ -303,9 +341,18 @@ class Bgl:
     def rows(self) -> int:
         return self.articles
 
+    def cuts(self, step: int) -> list[Window]:
+        """Stretches of ``step`` articles, told by the ends of their strings."""
+        ends = np.flatnonzero(np.frombuffer(files.read(self.path, self.offset), np.uint8) == 0)[2::3] + 1 + self.offset
+        if len(ends) < self.articles:
+            raise InvalidFormat("the articles end early")
+        starts = [self.offset, *ends[: self.articles].tolist()]
+        return [Window(at, min(at + step, self.articles), starts[at], starts[min(at + step, self.articles)]) for at in range(0, self.articles, step)]
+
     def entries(self, start: int, end: int) -> Iterator[Entry]:
-        reader = Reader(files.read(self.path, self.offset))
-        for at in range(min(end, self.articles)):
+        window = self.window
+        reader = Reader(files.read(self.path, window.byte, window.stop - window.byte) if window else files.read(self.path, self.offset))
+        for at in range(window.start if window else 0, min(end, self.articles)):
             begin = reader.at
             key, _, body = reader.until(), reader.until(), reader.until()
             if reader.at - begin > MAX_ARTICLE:
@@ -568,13 +615,15 @@ class MDict:
 OPENERS = {"stardict": StarDict, "dsl": Dsl, "bgl": Bgl, "zim": Zim, "mdict": MDict}
 
 
-def open_dictionary(path: str, format_: str | None = None, strict: bool = True):
+def open_dictionary(path: str, format_: str | None = None, strict: bool = True, window: Window | None = None):
     kind = format_ or detect_format(path)
     if kind not in OPENERS:
         raise Unsupported(kind)
     if not files.exists(path):
         raise NotFound(path)
     try:
+        if window is not None and window.byte is not None:
+            return OPENERS[kind](path, window)
         return Dsl(path, strict) if kind == "dsl" else OPENERS[kind](path)
     except struct.error as e:
         raise InvalidFormat(str(e)) from e

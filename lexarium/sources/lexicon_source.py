@@ -1,7 +1,9 @@
 """``spark.read.format("lexicon")``: dictionaries of all formats as one table.
 
 A dictionary is shared out by ordinal (by record block for MDict) to as many
-tasks as its bytes ask for, or as the option ``partitions`` tells. The options ``key``, ``keyPrefix`` and ``dictId`` keep only
+tasks as its bytes ask for, or as the option ``partitions`` tells; a task of a
+StarDict or BGL dictionary reads its own stretch of the index alone, one of DSL
+or MDict decodes the headwords of the whole file. The options ``key``, ``keyPrefix`` and ``dictId`` keep only
 such entries: keys are tested before an entry becomes a row, dictionaries before
 a file is opened. (They are options since Spark 4.1 keeps the filters it pushed
 into a Python source with the relation, so that a second query over the same
@@ -23,7 +25,7 @@ from lexarium.functions.encoding import convert, detect
 from lexarium.model import LEXICON, METADATA
 
 from . import files
-from .formats import FORMATS, detect_format, dsl_tags, is_valid, open_dictionary, scan_directory
+from .formats import FORMATS, Window, detect_format, dsl_tags, is_valid, open_dictionary, scan_directory
 
 _SCHEMA = pa.schema([("dict_id", pa.string()), ("ord", pa.int64()), ("key", pa.string()), ("entry", pa.binary()), ("text", pa.string())])
 _TAGS = pa.struct([("plain", pa.string()), ("has_media", pa.bool_()), ("has_transcription", pa.bool_()), ("margin_tags", pa.list_(pa.string()))])
@@ -42,6 +44,7 @@ class Slice(InputPartition):
     dict_id: str
     start: int
     end: int
+    window: Window | None = None
 
 
 def dictionary_id(path: str) -> str:
@@ -87,16 +90,18 @@ class LexiconReader(DataSourceReader):
                 if tasks <= 1:
                     out.append(Slice(name, kind, dictionary_id(name), 0, _ALL))
                     continue
-                rows = open_dictionary(name, kind, self.strict).rows()
+                dictionary = open_dictionary(name, kind, self.strict)
+                rows = dictionary.rows()
                 step = max(1, -(-rows // tasks))
-                out += [Slice(name, kind, dictionary_id(name), s, s + step) for s in range(0, rows, step)]
+                cuts = dictionary.cuts(step) if hasattr(dictionary, "cuts") else [Window(s, s + step) for s in range(0, rows, step)]
+                out += [Slice(name, kind, dictionary_id(name), w.start, w.end, w) for w in cuts]
         return out or [Slice("", "", "", 0, 0)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         rows, weight = [], 0
-        for at, key, entry in open_dictionary(partition.path, partition.format, self.strict).entries(partition.start, partition.end):
+        for at, key, entry in open_dictionary(partition.path, partition.format, self.strict, partition.window).entries(partition.start, partition.end):
             if self.key not in (None, key) or not key.startswith(self.start):
                 continue
             rows.append({"dict_id": partition.dict_id, "ord": at, "key": key, "entry": entry, "text": _text(entry)})

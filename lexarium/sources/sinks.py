@@ -125,14 +125,22 @@ def mdict(name: str, entries: Entries, per_block: int = 256, encrypted: bool = F
     return {"mdx": data + packed_info + b"".join(keys) + tail + b"".join(table) + b"".join(records)}
 
 
+MAX_CONTAINER = 512 << 20
 WRITERS: dict[str, Callable[[str, Entries], Written]] = {"stardict": stardict, "dsl": dsl, "bgl": bgl, "zim": zim, "mdict": mdict}
 MAIN = {"stardict": "ifo", "dsl": "dsl", "bgl": "bglx", "zim": "zim", "mdict": "mdx"}
 
 
 def write_containers(lex: DataFrame, folder: str, format_: str) -> list[str]:
-    """Write each dictionary of a lexicon as ``folder/<dict_id>.*``, by key; the main files."""
+    """Write each dictionary of a lexicon as ``folder/<dict_id>.*``, by key; the main files.
+
+    A dictionary is one file and so one task, which holds it in memory: one of
+    more than ``MAX_CONTAINER`` bytes is refused.
+    """
     if format_ not in WRITERS:
         raise Unsupported(format_)
+    largest = lex.groupBy("dict_id").agg(F.sum(F.octet_length("entry") + F.octet_length("key")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MAX_CONTAINER:
+        raise Unsupported(f"a dictionary of {largest} bytes in one file; save_lexicon has no such limit")
 
     def put(table: pa.Table) -> pa.Table:
         name = table.column("dict_id")[0].as_py()

@@ -13,7 +13,7 @@ from lexarium.errors import DecompressionFailed, IndexMissing, Unsupported
 from lexarium.functions import codec, lzo, timing
 from lexarium.lexicon import Lexicon
 from lexarium.operators import lookup, search
-from lexarium.sources import files, lexicon_source
+from lexarium.sources import files, lexicon_source, sinks
 from lexarium.sources.formats import MDict
 
 
@@ -143,8 +143,25 @@ def test_stardict_laid_out_by_hand(spark, tmp_path):
     assert lexicon_source.metadata(spark, f"{base}.ifo").first()["name"] == "By hand"
 
 
+@pytest.mark.parametrize("format_", ["stardict", "bgl", "zim", "mdict", "dsl"])
+def test_any_number_of_tasks_reads_the_same(spark, tmp_path, format_):
+    lex = lexicon(spark, [("d", f"k{i:03d}", f"text {i} " + "x" * (i % 50)) for i in range(300)])
+    found = sinks.write_containers(lex, f"file://{tmp_path}", format_)
+    one = sorted(tuple(r) for r in lexicon_source.load(spark, *found).select("ord", "key", "text").collect())
+    many = lexicon_source.load(spark, *found, partitions=7)
+    assert len(one) == 300 and sorted(tuple(r) for r in many.select("ord", "key", "text").collect()) == one
+    assert format_ == "mdict" or many.rdd.getNumPartitions() == 7
+
+
+def test_containers_have_a_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MAX_CONTAINER", 10)
+    with pytest.raises(Unsupported):
+        sinks.write_containers(lexicon(spark, [("d", "key", "a long entry")]), f"file://{tmp_path}", "dsl")
+
+
 def test_bgl_laid_out_by_hand(spark, tmp_path):
     words = b"one\0\0first\0" + b"two\0\0second\0"
     path = f"{tmp_path}/hand.bglx"
     files.write(path, b"BGLX" + (1).to_bytes(4, "little") + (2).to_bytes(4, "little") + (2).to_bytes(4, "little") + (24).to_bytes(8, "little") + words)
-    assert {r["key"]: r["text"] for r in lexicon_source.load(spark, path).collect()} == {"one": "first", "two": "second"}
+    for options in ({}, {"partitions": 2}):
+        assert {r["key"]: r["text"] for r in lexicon_source.load(spark, path, **options).collect()} == {"one": "first", "two": "second"}
