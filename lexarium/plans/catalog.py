@@ -136,8 +136,9 @@ def fts_average_length(spark, d):
 
 @query("fts_build", f"WITH {_TOKENS} SELECT n.dict_id, n::BIGINT AS documents, vocabulary, round(tokens / n, 6) AS average_length, tokens FROM n JOIN (SELECT dict_id, count(*) AS vocabulary, sum(cf)::BIGINT AS tokens FROM d GROUP BY ALL) USING (dict_id)")
 def fts_build(spark, d):
-    """Builds and saves a new index each time; what it holds is told from the saved tables."""
-    return fts.statistics(fts.save(fts.build(documents(spark, d)), new_path(spark, "index"))).withColumn("average_length", F.round("average_length", 6))
+    """Builds and saves a new index each time, for the queries after it too; what it holds is told from the saved tables."""
+    _INDEXES.pop((spark.sparkContext.applicationId, d), None)
+    return fts.statistics(index_of(spark, d)).withColumn("average_length", F.round("average_length", 6))
 
 
 @query("fts_validate", "SELECT * FROM (VALUES ('term without postings', 0::BIGINT), ('postings without term', 0), ('wrong counts', 0), ('postings without document', 0)) v(problem, n)")
