@@ -1,7 +1,8 @@
 """Operator 2: a WARC source, and a writer to make archives of pages.
 
 ``spark.read.format("warc")`` plans one partition for each group of files of
-about ``partitionBytes``. Predicates on the record type and the other header
+about ``partitionBytes``; a larger compressed file is read in ranges that begin
+at gzip members. Predicates on the record type and the other header
 columns go into the reader, as the option ``where`` or, with the option
 ``pushdown`` "true", from the filters of the query. (Spark 4.1 keeps the filters
 it pushed into a Python source with the relation, and a second query over the
@@ -41,6 +42,8 @@ _ARROW = pa.schema(
 _HEADER_OF = {"warc_type": "warc-type", "record_id": "warc-record-id", "date": "warc-date", "target_uri": "warc-target-uri", "content_type": "content-type", "content_length": "content-length"}
 _KINDS = {"startswith": StringStartsWith, "endswith": StringEndsWith, "contains": StringContains, ">": GreaterThan, ">=": GreaterThanOrEqual, "<": LessThan, "<=": LessThanOrEqual}
 _READ = 1 << 20
+#: No block of stored bytes in a gzip member is longer.
+_STORED = 1 << 16
 _BATCH_BYTES, _BATCH_ROWS = 8 << 20, 4096
 MAX_HEADER = 1 << 20
 
@@ -67,12 +70,56 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _chain(raw, at: int, size: int) -> bool:
+    """Whether gzip members that each begin a record follow one another from ``at`` on, for ``_STORED`` bytes or to the end."""
+    end = min(at + _STORED, size)
+    while at < end:
+        raw.seek(at)
+        member, head = zlib.decompressobj(31), b""
+        try:
+            while not member.eof:
+                data = raw.read(_STORED)
+                if not data:
+                    return False
+                head += member.decompress(data)[: 5 - len(head)]
+        except zlib.error:
+            return False
+        if head != b"WARC/":
+            return False
+        at = raw.tell() - len(member.unused_data)
+    return True
+
+
+def member_start(raw, at: int, size: int) -> int:
+    """The first place from ``at`` on where a range of a compressed file may begin; its end where there is none.
+
+    What looks like members may be an archive inside a payload: data that do
+    not compress are stored as they are, but never more than ``_STORED`` bytes
+    in a row, so a longer chain is one of the file itself.
+    """
+    if at <= 0:
+        return 0
+    while at < size:
+        raw.seek(at)
+        data = raw.read(_READ + 2)
+        i = data.find(b"\x1f\x8b\x08")
+        while 0 <= i:
+            if _chain(raw, at + i, size):
+                return at + i
+            i = data.find(b"\x1f\x8b\x08", i + 1)
+        at += _READ
+    return size
+
+
 class _Source:
-    """Bytes of one file from an offset on: of a plain file, or of one gzip member after another."""
+    """Bytes of one file: of a plain file, or of one gzip member after another, from ``start`` to what begins at ``stop``."""
 
-    def __init__(self, raw, gzip: bool, size: int):
+    def __init__(self, raw, gzip: bool, size: int, start: int = 0, stop: int | None = None):
         self.raw, self.gzip, self.size = raw, gzip, size
-        self.buffer, self.at = b"", 0
+        self.stop = size if stop is None else stop
+        self.raw.seek(start)
+        self.buffer, self.at, self.made = b"", 0, 0
+        self.members: list[tuple[int, int]] = []  # (where its bytes begin, where it lies in the file)
         self.member, self.rest = None, b""
         self.ended = False
 
@@ -85,8 +132,11 @@ class _Source:
                     self.rest = self.member.unused_data
                 data = self.rest or self.raw.read(_READ)
                 self.rest = b""
-                if not data:
+                place = self.raw.tell() - len(data)
+                if not data or place >= self.stop:
+                    self.rest = data
                     return b""
+                self.members.append((self.made, place))
                 self.member = zlib.decompressobj(31)
                 out = self.member.decompress(data)
             else:
@@ -95,8 +145,17 @@ class _Source:
                     raise WarcError("the file ends inside a gzip member")
                 out = self.member.decompress(data)
             if out:
+                self.made += len(out)
                 return out
 
+    def place(self, at: int) -> int:
+        """Where the byte ``at`` lies in a plain file, or the gzip member that begins with it or holds it."""
+        if not self.gzip:
+            return at
+        while len(self.members) > 1 and self.members[1][0] <= at:
+            self.members.pop(0)
+        return self.members[0][1]
+
     def until(self, mark: bytes, most: int) -> bytes | None:
         """Bytes up to ``mark``, which is consumed; None at the end."""
         seen = 0
@@ -172,9 +231,9 @@ def _passes(filters: list[Filter], values: dict) -> bool:
     return True
 
 
-def records(raw, gzip: bool, size: int, filters: list[Filter], payload: bool, name: str) -> Iterator[dict]:
-    """The records of one file that pass; offsets count uncompressed bytes."""
-    source = _Source(raw, gzip, size)
+def records(raw, gzip: bool, size: int, filters: list[Filter], payload: bool, name: str, start: int = 0, stop: int | None = None) -> Iterator[dict]:
+    """The records of one file, or of a range of a compressed one, that pass; the offset of a compressed record is that of its gzip member."""
+    source = _Source(raw, gzip, size, start, stop)
     while True:
         start = source.at
         block = source.until(b"\r\n\r\n", MAX_HEADER)
@@ -203,12 +262,12 @@ def records(raw, gzip: bool, size: int, filters: list[Filter], payload: bool, na
                 first = head.split(b"\r\n", 1)[0].split(b" ")
                 status = int(first[1]) if head.startswith(b"HTTP/") and len(first) > 1 and first[1].isdigit() else None
                 http, body = _headers(head), rest
-        yield values | {"headers": headers, "http_status": status, "http_headers": http, "payload": body if payload else None, "file": name, "offset": start + lead}
+        yield values | {"headers": headers, "http_status": status, "http_headers": http, "payload": body if payload else None, "file": name, "offset": source.place(start + lead) if gzip else start + lead}
 
 
 @dataclass
 class WarcFiles(InputPartition):
-    files: list[tuple[str, int]]
+    files: list[tuple[str, int, int, int]]  # path, size, and the range to read
 
 
 class WarcReader(DataSourceReader):
@@ -238,29 +297,40 @@ class WarcReader(DataSourceReader):
         groups: list[WarcFiles] = []
         room = 0
         for name, size in sorted(found):
-            if size > room or not groups:
-                groups.append(WarcFiles([]))
-                room = self.partition_bytes
-            groups[-1].files.append((name, size))
-            room -= size
+            # a compressed file may begin at any member; a plain one has no mark that its payloads cannot have too
+            step = self.partition_bytes if name.endswith(".gz") else max(size, 1)
+            for start in range(0, max(size, 1), step):
+                end = min(start + step, size)
+                if end - start > room or not groups:
+                    groups.append(WarcFiles([]))
+                    room = self.partition_bytes
+                groups[-1].files.append((name, size, start, end))
+                room -= end - start
         return groups or [WarcFiles([])]
 
     def read(self, partition: WarcFiles) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        weight = 0
-        for name, size in partition.files:
+        columns: dict[str, list] = {c: [] for c in _ARROW.names}
+        weight = count = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _ARROW], schema=_ARROW)
+
+        for name, size, begin, end in partition.files:
             fs, at = open_fs(name)
             with fs.open_input_file(at) as raw:
-                for row in records(raw, name.endswith(".gz"), size, self.filters, self.payload, name):
-                    for c in ("headers", "http_headers"):
-                        row[c] = list(row[c].items()) if row[c] is not None else None
-                    rows.append(row)
+                gzip = name.endswith(".gz")
+                start, stop = (member_start(raw, begin, size), member_start(raw, end, size) if end < size else size) if gzip else (0, size)
+                for row in records(raw, gzip, size, self.filters, self.payload, name, start, stop) if start < stop else ():
+                    for c, held in columns.items():
+                        x = row[c]
+                        held.append(list(x.items()) if isinstance(x, dict) else x)
                     weight += len(row["payload"] or b"") + 512
-                    if weight > _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows, weight = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    count += 1
+                    if weight > _BATCH_BYTES or count >= _BATCH_ROWS:
+                        yield batch()
+                        columns, weight, count = {c: [] for c in _ARROW.names}, 0, 0
+        if count:
+            yield batch()
 
 
 class PushingWarcReader(WarcReader):
