@@ -36,8 +36,8 @@ from .store import spread, stash
 WINDOW = 50
 #: Tokens sorted after each pass; the last is the window.
 DEPTHS = (16, 32, 50)
-#: A block of the texts of this many bytes is sent at a time, or more where buckets would get too few keys of it.
-BLOCK_BYTES = 1 << 20
+#: A block of the texts of this many bytes is sent at a time, or up to so many where buckets would get too few keys of it.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 1 << 20, 32 << 20
 KEYS_A_BUCKET = 64
 BUCKETS_A_PARTITION = 16
 
@@ -102,8 +102,24 @@ class _Sorter:
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
             self.bits.append({int(block[a]): (np.asarray(table.column("n"))[a:b], column.slice(a, b - a)) for a, b in zip(cut, np.append(cut[1:], len(block)))})
 
-    def keys(self, tokens: np.ndarray, start: np.ndarray, level: int) -> np.ndarray:
-        return K.span_hash(K.prefix_sums(tokens), start, start + self.depths[level])
+    def suffixes(self, column: pa.Array, window: int, levels: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(keys, row, place) of all suffixes of a block: their keys up to each level, from a little text at a time."""
+        keys: list[list[np.ndarray]] = [[] for _ in range(levels)]
+        rows, places = [], []
+        for a, b in K.slices(column):
+            tokens, start, first = _suffixes(column.slice(a, b - a), window)
+            owner = np.searchsorted(first, start, "right") - 1
+            rows.append((owner + a).astype(np.int32))
+            places.append((start - first[owner]).astype(np.int32))
+            sums = K.prefix_sums(tokens)
+            for level in range(levels):
+                # beyond the last level, which is the whole window, comes its second hash
+                if level < len(self.depths):
+                    keys[level].append(K.span_hash(sums, start, start + self.depths[level]))
+                else:
+                    keys[level].append(_second(tokens, start, window))
+        joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return [joined(k, np.uint64) for k in keys], joined(rows, np.int32), joined(places, np.int32)
 
     def known(self, level: int, number: int, keys: int) -> tuple[np.ndarray, pa.Array]:
         """Numbers of keys and answers of the buckets of a block, in order."""
@@ -112,18 +128,19 @@ class _Sorter:
             raise parts.Moved
         return n, data
 
-    def left(self, number: int, tokens: np.ndarray, start: np.ndarray, levels: int) -> np.ndarray:
-        """Of the suffixes at ``start`` those that are in a group after so many passes."""
+    def left(self, number: int, keys: list[np.ndarray], levels: int) -> np.ndarray:
+        """Of the suffixes with these keys those that are in a group after so many passes."""
+        at = np.arange(len(keys[0]))
         for level in range(levels):
-            key, back = np.unique(self.keys(tokens, start, level), return_inverse=True)
+            key, back = np.unique(keys[level][at], return_inverse=True)
             n, data = self.known(level, number, len(key))
             if not len(key):
                 break
             raw, offsets = K.text_bytes(data.cast(pa.large_binary()).view(pa.large_string()))
             bit = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             held = (raw[np.repeat(offsets[:-1], n) + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            start = start[held[back] == 1]
-        return start
+            at = at[held[back] == 1]
+        return at
 
 
 def _suffixes(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,16 +188,15 @@ def _send(sorter_of, level: int, window: int):
         for batch in batches:
             column, ids = _texts(batch), batch.column("doc_id").fill_null(0)
             for a, b in K.slices(column, sorter.block_bytes):
-                tokens, start, first = _suffixes(column.slice(a, b - a), window)
-                start = sorter.left(number, tokens, start, level)
+                keys, row, place = sorter.suffixes(column.slice(a, b - a), window, level + 1 + final)
+                at = sorter.left(number, keys, level)
                 number += 1
-                if not len(start):
+                if not len(at):
                     continue
-                key = sorter.keys(tokens, start, level)
+                key = keys[level][at]
                 if final:
-                    owner = np.searchsorted(first, start, "right") - 1
-                    doc = np.asarray(ids.slice(a, b - a).cast(pa.int64()))[owner]
-                    key, rep, times, _ = _first_places(key, doc, start - first[owner])
+                    doc, place = np.asarray(ids.slice(a, b - a).cast(pa.int64()))[row[at]], place[at]
+                    key, rep, times, _ = _first_places(key, doc, place)
                 else:
                     key, times = np.unique(key, return_counts=True)
                 bucket = _bucket(key, sorter.buckets)
@@ -190,7 +206,7 @@ def _send(sorter_of, level: int, window: int):
                 if final:
                     base = int(doc.min())
                     near = doc[rep] - base
-                    packed = _columns(n, _bytes(key, 8), _bytes(_second(tokens, start[rep], window), 4), many, _bytes(near, 8), _bytes((start - first[owner])[rep], 4))
+                    packed = _columns(n, _bytes(key, 8), _bytes(keys[level + 1][at][rep], 4), many, _bytes(near, 8), _bytes(place[rep], 4))
                 else:
                     packed = _columns(n, _bytes(key, 5), many)
                 k = len(begin)
@@ -273,12 +289,12 @@ def _judge_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans_of(sorter: _Sorter, number: int, column: pa.Array, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, of_doc_id) of the spans covered by windows that occur earlier, by row and place."""
-    tokens, start, first = _suffixes(column, window)
     level = len(sorter.depths) - 1
-    start = sorter.left(number, tokens, start, level)
-    owner = np.searchsorted(first, start, "right") - 1
-    at, doc = start - first[owner], ids[owner]
-    key, rep, _, back = _first_places(sorter.keys(tokens, start, level), doc, at)
+    keys, owner, place = sorter.suffixes(column, window, level + 1)
+    left = sorter.left(number, keys, level)
+    owner, at = owner[left], place[left]
+    doc = ids[owner]
+    key, rep, _, back = _first_places(keys[level][left], doc, at)
     n, data = sorter.known(level, number, len(key))
     none = np.zeros(0, np.int64)
     if not len(key):
@@ -293,7 +309,7 @@ def _spans_of(sorter: _Sorter, number: int, column: pa.Array, ids: np.ndarray, w
     of[state == 2] = _number(raw[((offsets[:-1] + n)[told] + 8 * within)[:, None] + np.arange(8)]).view(np.int64)
     state, of, lead = state[back], of[back], rep[back]
     again = (state == 2) | ((state == 1) & ((doc != doc[lead]) | (at != at[lead])))
-    row, at, of = owner[again], at[again], of[again]
+    row, at, of = owner[again].astype(np.int64), at[again].astype(np.int64), of[again]
     if not len(row):
         return none, none, none, none
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window)]))
@@ -304,7 +320,7 @@ def _sorted(docs: DataFrame, window: int, depths: tuple[int, ...], block_bytes:
     """Runs all passes over a scan; returns what makes a :class:`_Sorter` that knows the result."""
     spark = docs.sparkSession
     buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block_bytes = max(block_bytes, 6 * KEYS_A_BUCKET * buckets)
+    block_bytes = max(block_bytes, min(6 * KEYS_A_BUCKET * buckets, MOST_BLOCK_BYTES))
     texts = docs.select("doc_id", "text")
     answers: list[tuple] = []
 
