@@ -54,7 +54,8 @@ def put(answers: DataFrame, name: str, kind: pa.DataType = pa.int32()) -> tuple[
     """Write rows with a column ``part`` of that kind, in its order; returns what :func:`get` needs."""
     spark = answers.sparkSession
     path, folders = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = answers.withColumn("folder", F.expr(f"pmod(part, {folders})")).repartition(folders, "folder").sortWithinPartitions("folder", "part")
+    placed = answers.withColumn("folder", F.expr(f"cast(pmod(part, {folders}) as int)"))
+    sorted_ = placed.repartitionById(folders, F.col("folder")).sortWithinPartitions("folder", "part")  # a task for each folder
     sorted_.write.option("compression", "zstd").partitionBy("folder").parquet(path)
     return path, folders, kind
 

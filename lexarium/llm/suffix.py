@@ -319,7 +319,8 @@ def _spans_of(sorter: _Sorter, number: int, column: pa.Array, ids: np.ndarray, w
 def _sorted(docs: DataFrame, window: int, depths: tuple[int, ...], block_bytes: int):
     """Runs all passes over a scan; returns what makes a :class:`_Sorter` that knows the result."""
     spark = docs.sparkSession
-    buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_A_PARTITION * partitions
     block_bytes = max(block_bytes, min(6 * KEYS_A_BUCKET * buckets, MOST_BLOCK_BYTES))
     texts = docs.select("doc_id", "text")
     answers: list[tuple] = []
@@ -330,7 +331,9 @@ def _sorted(docs: DataFrame, window: int, depths: tuple[int, ...], block_bytes:
     for level in range(len(depths)):
         sent = texts.mapInArrow(_send(sorter_of(tuple(answers)), level, window), _SENT)
         judge = _judge_last if level == len(depths) - 1 else _judge
-        answers.append(parts.put(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, _BACK), f"suffixes-{level}"))
+        # buckets hold about as many keys each, so they are dealt out in turn, not by another hash
+        dealt = sent.repartitionById(partitions, F.expr(f"cast(pmod(bucket, {partitions}) as int)")).sortWithinPartitions("bucket")
+        answers.append(parts.put(dealt.mapInArrow(judge, _BACK), f"suffixes-{level}"))
     return sorter_of(tuple(answers))
 
 
