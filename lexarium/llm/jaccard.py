@@ -1,19 +1,19 @@
 """Operator 4: n-gram Jaccard join of documents.
 
-Parity-sketch join. A document is the set of its token bigrams. The hash of a
-bigram flips one of the ``BLOCKS`` x 8 bits of a sketch, so the Hamming
-distance of two sketches never exceeds the symmetric difference of the sets,
-and with a Jaccard index of at least ``t`` that difference is at most
-``(1-t)/(1+t) * (|A|+|B|)``. A difference that leaves a block untouched leaves
-its XOR of hashes equal (pigeonhole), so equal blocks are joined; pairs whose
-sketches differ in more bits than the bound allows go at once, and a pair is
-passed on by its first equal blocks only. The rate at which bigrams enter the
-sketch depends on the size band: bands grow by ``BAND``; a document enters its
-own and, where a partner may lie there, the next one. Up to 39 bigrams all
-enter and the pigeonhole leaves no pair out. From there on a sketch has about
-48 to 120 bigrams, the same sample in every text, and chance comes in: see
-:func:`least_recall`, which bounds what a pair can lose and is tested. Every
-candidate is verified on the whole sets.
+Prefix join, which leaves no pair out. A document is the set of its token
+bigrams, put in one order for all documents, rare ones first. Sets of ``m`` and
+``n`` bigrams with a Jaccard index of at least ``t`` share at least
+``t/(1+t) * (m+n)`` of them, say ``s``; the first ``k`` of the shared ones then
+lie in the first ``m-s+k`` and ``n-s+k`` bigrams of the sets. So these prefixes
+of the two have at least ``k`` bigrams in common (:func:`needed`, or ``s`` if that
+is less), and pairs that have fewer go. Each bigram of a prefix is a key under
+which the documents that have it meet; shared ones are counted by the ends of
+runs that follow each other in both sets, not one by one. Every pair that is
+left is verified on the whole sets.
+
+The order follows counts in a bounded sample (``SAMPLE_TEXTS`` texts of
+``SAMPLE_CHARS`` characters) and then hashes. It decides how many documents
+meet, never which pairs are found. Keys are shuffled packed, by bucket.
 
 Documents with equal sets are one node of the join; a scan partition passes a
 set on once, so copies are joined before the shuffle. Verification moves each
@@ -22,7 +22,7 @@ text once for every tile of up to ``TILE`` x ``TILE`` documents, not once a pair
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +35,13 @@ from .store import fresh, spread, stash
 
 N = 2
 THRESHOLD = 0.6
-BLOCKS = 32
-BAND = 2.5
-SAMPLE = 48
-SIGMAS = 4.0
+NEED = 4
+SAMPLE_TEXTS = 10_000
+SAMPLE_CHARS = 20_000
+SLOT_BITS = 24
+SKETCHED = 64
+HELD_KEYS = 250_000
+PAIRS = 150_000
 TILE = 512
 BROADCAST_ROWS = 1_000_000
 
@@ -67,72 +70,75 @@ def fingerprints(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.mix((sums[first[1:]] - sums[first[:-1]]) ^ np.diff(first).astype(np.uint64), 13).view(np.int64)
 
 
-def band_of(size: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+def least_shared(m: np.ndarray, n: np.ndarray, t: float) -> np.ndarray:
+    """How many bigrams sets of ``m`` and ``n`` share at least if their index is ``t`` or more."""
+    return np.ceil(t / (1 + t) * (np.asarray(m, float) + n) - 1e-6).astype(np.int64)
 
 
-def band_rate(band: np.ndarray) -> np.ndarray:
-    """Share of the bigrams that enter the sketches of a band."""
-    return np.minimum(1.0, SAMPLE / BAND ** np.asarray(band, float))
+def needed(n: np.ndarray) -> np.ndarray:
+    """How many shared bigrams a set of ``n`` counts on in prefixes; long sets have a few by chance."""
+    return NEED + np.asarray(n) // 64
+
+
+def prefix_length(n: np.ndarray, t: float = THRESHOLD) -> np.ndarray:
+    """How many of its ``n`` bigrams, rarest first, a set meets others by."""
+    return np.minimum(n, n - np.ceil(t * np.asarray(n, float) - 2e-6).astype(np.int64) + needed(n))
 
 
 def least_recall(n: int, t: float = THRESHOLD) -> float:
-    """The least chance that two sets of ``n`` bigrams each, with an index of just ``t``, meet in a block.
+    """The least share of the sets with an index of at least ``t`` to one of ``n`` bigrams that meet it: 1 if its prefix holds what any such pair counts on."""
+    other = np.arange(max(1, int(np.ceil(t * n - 1e-6))), int(n / t + 1e-6) + 1)
+    shared = least_shared(np.full(len(other), n), other, t)
+    need = np.minimum(needed(np.minimum(n, other)), shared)
+    return float(((n - shared + need <= prefix_length(n, t)) & (other - shared + need <= prefix_length(other, t))).mean())
 
-    The pair differs in ``d`` bigrams and shares ``m``. Each enters the sample
-    with the rate of the band and lands in one of the blocks, all
-    independently (Poisson). A block brings the pair together if no difference
-    is in it and it holds one shared bigram, or two from 24 bigrams on.
-    """
-    band = int(band_of(np.array([n]))[0])
-    m, rate = 2 * n * t / (1 + t), float(band_rate(band))
-    d = 2 * (n - m)
-    if rate == 1 and d < BLOCKS:
-        return 1.0
-    clear, shared = math.exp(-d * rate / BLOCKS), m * rate / BLOCKS
-    held = 1 - math.exp(-shared) * (1 + shared if BAND**band >= 24 else 1)
-    return 1 - (1 - clear * held) ** BLOCKS
-
-
-def signatures(grams: np.ndarray, first: np.ndarray, t: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, owner, mask, sketch) of every block that takes part.
-
-    The lowest five bits of a key are the number of its block, the next five
-    the band; ``mask`` has the blocks of that sketch that take part. Blocks of
-    one bigram take part in small sets only: there they are not yet common.
+
+def slots(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def signatures(grams: np.ndarray, first: np.ndarray, t: float = THRESHOLD, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owner, place, sketch) of every bigram of the prefixes.
+
+    ``table`` has the counts of the sample by slot. ``place`` has columns for
+    the position in the order, the key before and the key behind. The bits of
+    ``sketch`` are flipped by the bigrams of the whole set, so two differ in no
+    more bits than the sets in bigrams; sets of over ``SKETCHED`` have none.
     """
     size = np.diff(first)
-    band = band_of(size)
     owner = np.repeat(np.arange(len(size)), size)
     code = K.mix(grams, 17)
-    share = (code >> np.uint64(40)).astype(float) / 2**24
-    out = []
-    for b in np.unique(band[size > 0]).tolist():
-        for use in (b, b + 1):
-            taken = (band == b) & (size >= t * BAND**use) if use > b else band == b
-            pick = taken[owner] & (share < band_rate(use))
-            x, o = code[pick], owner[pick]
-            if not len(x):
-                continue
-            slot = o * BLOCKS + (x & np.uint64(BLOCKS - 1)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            slot, x = slot[order], x[order]
-            start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            parity = np.bitwise_xor.reduceat(K.mix(x, 19), start)
-            bits = np.bitwise_xor.reduceat(np.uint8(1) << ((x >> np.uint64(8)) & np.uint64(7)).astype(np.uint8), start)
-            held = np.diff(np.concatenate([start, [len(slot)]]))
-            slot = slot[start]
-            sketch = np.zeros((len(size), BLOCKS), np.uint8)
-            sketch[slot // BLOCKS, slot % BLOCKS] = bits
-            ok = held >= (2 if BAND**use >= 24 else 1)
-            slot, parity = slot[ok], parity[ok]
-            mask = np.zeros(len(size), np.int64)
-            np.bitwise_or.at(mask, slot // BLOCKS, np.int64(1) << (slot % BLOCKS))
-            keys = (K.mix(parity, use + 23) & ~np.uint64(1023)) | np.uint64(use << 5) | (slot % BLOCKS).astype(np.uint64)
-            out.append((keys, slot // BLOCKS, mask[slot // BLOCKS], sketch.view(np.uint64)[slot // BLOCKS]))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BLOCKS // 8), np.uint64)
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+    order = np.argsort(code)
+    if table is not None:
+        order = order[np.argsort(table[slots(code[order])], kind="stable")]
+    order = order[np.argsort(owner[order], kind="stable")]
+    sketch = np.zeros((len(size), 1), np.uint64)
+    held = np.flatnonzero(size)
+    if len(held):
+        sketch[held, 0] = np.bitwise_xor.reduceat(np.uint64(1) << (code & np.uint64(63)), first[:-1][held])
+        sketch[size > SKETCHED] = 0
+    code = code[order]
+    position = np.arange(len(code)) - first[:-1][owner]
+    around = np.concatenate([[0], code, [0]]).astype(np.uint64)
+    at = np.flatnonzero(position < prefix_length(size, t)[owner])
+    place = np.stack([position[at].astype(np.uint64), around[at], around[at + 2]], 1)
+    return code[at], owner[at], place, sketch[owner[at]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SLOT_BITS, np.uint32)
+    for batch in batches:
+        for a, b in K.slices(batch.column(0)):
+            grams, _ = gram_sets(batch.column(0).slice(a, b - a))
+            np.add.at(counts, slots(K.mix(grams, 17)), np.uint32(1))
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)], pa.binary())], names=["counts"])
+
+
+def sampled_counts(docs: DataFrame) -> bytes:
+    """Bigrams by slot in a sample of the texts, up to 255 each, compressed."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, docs.select("doc_id").count()))
+    texts = docs.filter("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    return bytes(texts.sample(share, 1).repartition(1).mapInArrow(_counted, "counts binary").collect()[0][0])
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +149,48 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(ok)), pa.array(fingerprints(grams, first)[ok])], names=["doc_id", "fp"])
 
 
-_SIGNED = ["key", "fp", "meta", "s0", "s1", "s2", "s3"]
+#: columns of the rows of a bucket, each packed in two-byte planes, so that what repeats or is 0 takes no room
+_PACKED = {"key": 3, "before": 2, "behind": 3, "fp": 4, "sketch": 4, "n": 2, "position": 2}
+
+
+def pack(columns: dict[str, np.ndarray]) -> bytes:
+    out = []
+    for name, planes in _PACKED.items():
+        column = columns[name].astype(np.uint64)
+        if name in ("fp", "sketch"):  # rows of one document follow each other
+            out.append(column.tobytes())
+        else:
+            out += [(column >> np.uint64(16 * i)).astype(np.uint16).tobytes() for i in range(planes)]
+    return b"".join(out)
+
+
+def unpack(packed: bytes) -> dict[str, np.ndarray]:
+    rows = len(packed) // (2 * sum(_PACKED.values()))
+    out, at = {}, 0
+    for name, planes in _PACKED.items():
+        if name in ("fp", "sketch"):
+            out[name] = np.frombuffer(packed, np.uint64, rows, at)
+        else:
+            out[name] = sum(np.frombuffer(packed, np.uint16, rows, at + 2 * rows * i).astype(np.uint64) << np.uint64(16 * i) for i in range(planes))
+        at += 2 * rows * planes
+    return out
 
 
-def _signed(t: float):
+def _signed(t: float, counts: bytes, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(counts), np.uint8)
         seen = np.zeros(0, np.int64)
+        held: list[dict[str, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            rows = {c: np.concatenate([h[c] for h in held]) for c in _PACKED}
+            bucket = (rows["key"] >> np.uint64(48)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = {c: v[order] for c, v in rows.items()}, bucket[order]
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [pack({c: v[i:j] for c, v in rows.items()}) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(bucket)])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
         for batch in batches:
             for a, b in K.slices(batch.column(0)):
                 grams, first = gram_sets(batch.column(0).slice(a, b - a))
@@ -159,81 +201,113 @@ def _signed(t: float):
                 take = np.isin(np.arange(len(fp)), once)
                 grams, fp = grams[np.repeat(take, np.diff(first))], fp[once]
                 first = np.concatenate([[0], np.cumsum(np.diff(first)[once])])
-                keys, owner, mask, sketch = signatures(grams, first, t)
-                meta = (np.diff(first)[owner] << 32) | mask
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[owner]), pa.array(meta), *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4))], names=_SIGNED)
+                keys, owner, place, sketch = signatures(grams, first, t, table)
+                if len(keys):
+                    held.append({"key": keys, "before": place[:, 1] & np.uint64(0xFFFFFFFF), "behind": place[:, 2], "fp": fp[owner].view(np.uint64), "sketch": sketch[:, 0], "n": np.diff(first)[owner].astype(np.uint64), "position": place[:, 0]})
+                if sum(len(h["key"]) for h in held) >= HELD_KEYS:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
 
     return run
 
 
-def _near(key: np.ndarray, n: np.ndarray, mask: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
-    """Of the pairs (x, y) of rows with equal keys, those that may reach ``t`` and have few equal blocks before this one."""
-    ok = np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y])
-    at = np.flatnonzero(ok)
-    differ = np.bitwise_count(sketch[x[at]] ^ sketch[y[at]]).sum(1)
-    rate = band_rate(((key[x[at]] >> 5) & 31).astype(float))
-    most = (1 - t) / (1 + t) * (n[x[at]] + n[y[at]]) * rate
-    ok[at] = differ <= most + np.where(rate < 1, SIGMAS * np.sqrt(most * (1 - rate)), 1e-9)
-    at = np.flatnonzero(ok)
-    equal = sketch[x[at]].view(np.uint8) == sketch[y[at]].view(np.uint8)
-    both = (mask[x[at]] & mask[y[at]])[:, None] >> np.arange(BLOCKS) & 1
-    before = np.arange(BLOCKS) < (key[x[at]] & 31)[:, None]
-    ok[at] = (equal & both.astype(bool) & before).sum(1) < 3
-    return ok
-
-
-def _bucket_pairs(key: np.ndarray, fp: np.ndarray, meta: np.ndarray, *words: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of different sets with one key, for rows sorted by key, fp."""
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-    keep &= np.concatenate([[False], key[1:] == key[:-1]]) | np.concatenate([key[1:] == key[:-1], [False]]) if len(key) else keep
-    key, fp, meta = key[keep], fp[keep], meta[keep]
-    sketch = np.stack([w[keep].view(np.uint64) for w in words], 1)
-    n, mask = meta >> 32, meta & 0xFFFFFFFF
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+def _near(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, need, count): of the pairs of rows with equal keys, those at an end of a run of shared bigrams of the prefixes.
+
+    ``need`` is how many shared bigrams the prefixes of the pair must have;
+    summed over all keys, ``count`` is how many they have.
+    """
+    n, place = rows["n"], rows["position"]
+    ok = np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-6
+    x, y = x[ok], y[ok]
+    shared = least_shared(n[x], n[y], t)
+    need = np.minimum(needed(np.minimum(n[x], n[y])), shared)
+    left_x, left_y = n[x] - shared + need - place[x], n[y] - shared + need - place[y]
+    ok = (left_x > 0) & (left_y > 0)
+    ok &= (np.maximum(n[x], n[y]) > SKETCHED) | (np.bitwise_count(rows["sketch"][x] ^ rows["sketch"][y]) <= n[x] + n[y] - 2 * shared)
+    x, y, need, left_x, left_y = x[ok], y[ok], need[ok], left_x[ok], left_y[ok]
+    starts = (place[x] == 0) | (place[y] == 0) | (rows["before"][x] != rows["before"][y])
+    ends = (left_x == 1) | (left_y == 1) | (rows["behind"][x] != rows["behind"][y])
+    count = np.where(ends, place[x] + 1, 0) - np.where(starts, place[x], 0)
+    ok = count != 0
+    return x[ok], y[ok], need[ok], count[ok]
+
+
+def _bucket_pairs(rows: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, need, count) of pairs of different sets with one key, a < b."""
+    order = np.argsort(rows["key"])
+    key = rows["key"][order]
+    same = key[1:] == key[:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    if not len(order):
+        return
+    order = order[np.lexsort((rows["fp"][order].view(np.int64), rows["key"][order]))]
+    rows = {c: v[order] for c, v in rows.items()}
+    key, fp = rows["key"], rows["fp"].view(np.int64)
+    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
+    rows = {c: v[keep] if c in ("key", "before", "behind", "sketch") else v[keep].view(np.int64) for c, v in rows.items()}
+    key, fp = rows["key"], rows["fp"]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     small = size <= 64
+
+    def near(x: np.ndarray, y: np.ndarray):
+        x, y, need, count = _near(rows, x, y, t)
+        return fp[x], fp[y], need, count
+
     for k in range(2, 65):
         every = start[small & (size == k)]
-        for s in range(0, len(every), max(1, 500_000 // (k * k))):
-            at = every[s : s + max(1, 500_000 // (k * k))]
+        for s in range(0, len(every), max(1, PAIRS // (k * k))):
+            at = every[s : s + max(1, PAIRS // (k * k))]
             i, j = np.triu_indices(k, 1)
-            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            ok = _near(key, n, mask, sketch, x, y, t)
-            yield fp[x[ok]], fp[y[ok]]
+            yield near((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
     for s, c in zip(start[~small].tolist(), size[~small].tolist()):
-        step = max(1, 500_000 // c)
+        step = max(1, PAIRS // c)
         for i in range(0, c - 1, step):
-            rows = np.arange(i, min(i + step, c))
-            x, y = np.repeat(rows, c), np.tile(np.arange(c), len(rows))
+            rows_ = np.arange(i, min(i + step, c))
+            x, y = np.repeat(rows_, c), np.tile(np.arange(c), len(rows_))
             ok = x < y
-            x, y = s + x[ok], s + y[ok]
-            ok = _near(key, n, mask, sketch, x, y, t)
-            yield fp[x[ok]], fp[y[ok]]
+            yield near(s + x[ok], s + y[ok])
 
 
 def _join(t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def out(columns):
-            seen = [np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in _bucket_pairs(*columns, t=t) if len(a)]
-            if seen:
-                both = np.unique(np.concatenate(seen), axis=0)
-                for at in range(0, len(both), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 100_000, i]) for i in (0, 1)], names=["a", "b"])
+    """Rows (bucket, rows) sorted by bucket; counts of one pair are added up as far as they are at hand."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            a, b, need, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order = np.lexsort((b, a))
+            a, b, need, count = a[order], b[order], need[order], count[order]
+            start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            return a[start], b[start], need[start], np.add.reduceat(count, start) if len(a) else count
+
+        def out(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            parts = [unpack(h) for h in held]
+            found: list[tuple[np.ndarray, ...]] = []
+            for pairs in _bucket_pairs({c: np.concatenate([p[c] for p in parts]) for c in _PACKED}, t):
+                found.append(pairs)
+                if sum(len(f[0]) for f in found) >= 2 * PAIRS:
+                    yield from batches_of(add(found))
+                    found = []
+            if found:
+                yield from batches_of(add(found))
+
+        def batches_of(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["a", "b", "need", "count"])
+
+        bucket, held = None, []
         for batch in batches:
-            columns = [np.asarray(batch.column(i)) for i in range(len(_SIGNED))]
-            if not len(columns[0]):
-                continue
-            cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-            if cut or (held and held[0][0][0] != columns[0][0]):
-                yield from out([np.concatenate([*(h[i] for h in held), c[:cut]]) for i, c in enumerate(columns)])
-                held = []
-            held.append([c[cut:] for c in columns])
+            for number, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number != bucket:
+                    if held:
+                        yield from out(held)
+                    bucket, held = number, []
+                held.append(rows)
         if held:
-            yield from out([np.concatenate([h[i] for h in held]) for i in range(len(_SIGNED))])
+            yield from out(held)
 
     return run
 
@@ -308,8 +382,11 @@ def _verify(t: float):
 def set_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """Rows (a, b, jaccard): fingerprints of the different sets with an index of at least ``t``, each pair once."""
     texts = docs.select("text").filter("text is not null")
-    signed = texts.mapInArrow(_signed(t), ", ".join(f"{c} bigint" for c in _SIGNED))
-    pairs = stash(signed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_join(t), "a bigint, b bigint").distinct(), "jaccard-pairs")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = texts.mapInArrow(_signed(t, sampled_counts(docs), 2 * tasks), "bucket bigint, rows binary")
+    met = signed.repartitionById(tasks, F.expr(f"cast(bucket % {tasks} as int)")).sortWithinPartitions("bucket").mapInArrow(_join(t), "a bigint, b bigint, need bigint, count bigint")
+    enough = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("count").alias("count")).filter("count >= need")
+    pairs = stash(enough.select("a", "b"), "jaccard-pairs")
     both = pairs.union(pairs.select("b", "a"))
     near = both.groupBy(F.col("a").alias("fp")).agg(F.least("fp", F.min("b")).alias("label"))
     near = stash(near, "jaccard-near")

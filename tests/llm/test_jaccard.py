@@ -140,3 +140,25 @@ def test_sketch_bounds_the_difference():
     x, y = (sketch[np.flatnonzero(owner == i)[0]] for i in (0, 1))
     sets = [set(g[f[i] : f[i + 1]].tolist()) for i in (0, 1)]
     assert int(np.bitwise_count(x ^ y).sum()) <= len(sets[0] ^ sets[1])
+
+
+def barely(pairs, n=97, first=0):
+    """Texts 2i and 2i + 1 of n bigrams have an index of just the threshold and nothing in common with others."""
+    shared = -int(-2 * n * jaccard.THRESHOLD // (1 + jaccard.THRESHOLD))
+    out = []
+    for i in range(first, first + pairs):
+        words = [f"w{i}x{k}" for k in range(2 * n - shared + 1)]
+        out += [" ".join(words[: n + 1]), " ".join(words[: shared + 1] + words[n + 1 :])]
+    return out
+
+
+def test_no_pair_at_the_threshold_is_lost(spark, tmp_path):
+    texts = [x for n in (97, 244, 610) for x in barely(400, n, 1000 * n)]
+    texts += [x for i in range(6000) for x in (f"a{i} b{i} c{i}", f"a{i} b{i} c{i} d{i}")]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = jaccard.op4_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in rows} == {i: (i // 2 * 2, 1) for i in range(len(texts))}
+
+
+def test_prefixes_hold_what_every_pair_counts_on():
+    assert all(jaccard.least_recall(n) == 1 for n in [*range(1, 700), 5000, 40_000])
