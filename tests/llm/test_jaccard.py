@@ -162,3 +162,11 @@ def test_no_pair_at_the_threshold_is_lost(spark, tmp_path):
 
 def test_prefixes_hold_what_every_pair_counts_on():
     assert all(jaccard.least_recall(n) == 1 for n in [*range(1, 700), 5000, 40_000])
+
+
+def test_pipeline_stage_keeps_one_of_each_pair_at_the_threshold(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, [x for i in range(9000) for x in (f"a{i} b{i} c{i}", f"a{i} b{i} c{i} d{i}")])
+    kept = corpus_pipeline.join_near_duplicates(spark, docs, "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 18_000, 2))
