@@ -11,13 +11,20 @@ which the documents that have it meet; shared ones are counted by the ends of
 runs that follow each other in both sets, not one by one. Every pair that is
 left is verified on the whole sets.
 
-The order follows counts in a bounded sample (``SAMPLE_TEXTS`` texts of
-``SAMPLE_CHARS`` characters) and then hashes. It decides how many documents
-meet, never which pairs are found. Keys are shuffled packed, by bucket.
-
-Documents with equal sets are one node of the join; a scan partition passes a
-set on once, so copies are joined before the shuffle. Verification moves each
-text once for every tile of up to ``TILE`` x ``TILE`` documents, not once a pair.
+The order follows counts and then hashes. Bigrams that a bounded sample
+(``SAMPLE_TEXTS`` texts of ``SAMPLE_CHARS`` characters) has at least ``KNOWN``
+times come last, by their counts in it. Scan partitions ask for the counts of
+all others over the whole table: two to three bytes of a bigram go to a bucket,
+and its count comes back as a class. Such counts are never too low, and all that
+ask for a bigram get one answer, so the order is the same for all documents. It
+decides how many documents meet, never which pairs are found. A bigram that no
+other set has is no key, and a set with too few others in its prefix has none.
+Keys are shuffled packed, by bucket.
+
+Documents with equal sets are one node of the join; one scan partition passes a
+set on, once (:func:`_blocks`), so copies are joined before the shuffle.
+Verification moves each text once for every tile of up to ``TILE`` x ``TILE``
+documents, not once a pair.
 """
 
 from __future__ import annotations
@@ -27,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import parts
 from .store import fresh, spread, stash
 
 N = 2
@@ -39,6 +48,10 @@ NEED = 4
 SAMPLE_TEXTS = 10_000
 SAMPLE_CHARS = 20_000
 SLOT_BITS = 24
+KNOWN = 2
+HOT = 8
+ASKED_BITS = 24
+BLOCK_GRAMS = 1_000_000
 SKETCHED = 64
 HELD_KEYS = 250_000
 PAIRS = 150_000
@@ -97,20 +110,28 @@ def slots(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def signatures(grams: np.ndarray, first: np.ndarray, t: float = THRESHOLD, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def least_needed(n: np.ndarray, t: float = THRESHOLD) -> np.ndarray:
+    """The fewest shared bigrams that a set of ``n`` has in its prefix with any set that reaches ``t``."""
+    other = np.maximum(1, np.ceil(t * np.asarray(n, float) - 2e-6)).astype(np.int64)
+    return np.minimum(needed(other), least_shared(n, other, t))
+
+
+def signatures(grams: np.ndarray, first: np.ndarray, t: float = THRESHOLD, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, owner, place, sketch) of every bigram of the prefixes.
 
-    ``table`` has the counts of the sample by slot. ``place`` has columns for
-    the position in the order, the key before and the key behind. The bits of
-    ``sketch`` are flipped by the bigrams of the whole set, so two differ in no
-    more bits than the sets in bigrams; sets of over ``SKETCHED`` have none.
+    ``rank`` has the place of each bigram in the order of all, 1 for those that
+    no other set has; these are no keys, and neither are any of a set that has
+    too few others. ``place`` has columns for the position in the order, the key
+    before and the key behind. The bits of ``sketch`` are flipped by the bigrams
+    of the whole set, so two differ in no more bits than the sets in bigrams;
+    sets of over ``SKETCHED`` have none.
     """
     size = np.diff(first)
     owner = np.repeat(np.arange(len(size)), size)
     code = K.mix(grams, 17)
     order = np.argsort(code)
-    if table is not None:
-        order = order[np.argsort(table[slots(code[order])], kind="stable")]
+    if rank is not None:
+        order = order[np.argsort(rank[order], kind="stable")]
     order = order[np.argsort(owner[order], kind="stable")]
     sketch = np.zeros((len(size), 1), np.uint64)
     held = np.flatnonzero(size)
@@ -121,6 +142,9 @@ def signatures(grams: np.ndarray, first: np.ndarray, t: float = THRESHOLD, table
     position = np.arange(len(code)) - first[:-1][owner]
     around = np.concatenate([[0], code, [0]]).astype(np.uint64)
     at = np.flatnonzero(position < prefix_length(size, t)[owner])
+    if rank is not None:
+        at = at[rank[order[at]] > 1]
+        at = at[(np.bincount(owner[at], minlength=len(size)) >= least_needed(size, t))[owner[at]]]
     place = np.stack([position[at].astype(np.uint64), around[at], around[at + 2]], 1)
     return code[at], owner[at], place, sketch[owner[at]]
 
@@ -146,7 +170,102 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in K.slices(batch.column(1)):
             grams, first = gram_sets(batch.column(1).slice(a, b - a))
             ok = np.diff(first) > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(ok)), pa.array(fingerprints(grams, first)[ok])], names=["doc_id", "fp"])
+            part = np.full(ok.sum(), TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(ok)), pa.array(fingerprints(grams, first)[ok]), pa.array(part)], names=["doc_id", "fp", "part"])
+
+
+_FP = pa.schema([("fp", pa.int64())])
+_ASKED = "bucket bigint, part int, block int, data binary"
+_ANSWER = "part int, block int, bucket bigint, check bigint, data binary"
+_ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int64()), ("check", pa.int64()), ("data", pa.binary())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], owners: tuple) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(grams, first, fp) of the sets that this scan partition is to pass on, each once, in blocks of lists."""
+    owned = np.sort(np.asarray(parts.get(owners, TaskContext.get().partitionId(), _FP).column("fp")))
+    left = np.ones(len(owned), bool)
+    block, held = [], 0
+    for batch in batches:
+        for a, b in K.slices(batch.column(0)):
+            if not len(owned):
+                continue
+            grams, first = gram_sets(batch.column(0).slice(a, b - a))
+            fp, size = fingerprints(grams, first), np.diff(first)
+            at = np.minimum(np.searchsorted(owned, fp), len(owned) - 1)
+            new = np.flatnonzero((owned[at] == fp) & left[at])
+            new = np.sort(new[np.unique(at[new], return_index=True)[1]])
+            left[at[new]] = False
+            take = np.zeros(len(fp), bool)
+            take[new] = True
+            block.append((grams[np.repeat(take, size)], np.concatenate([[0], np.cumsum(size[new])]), fp[new]))
+            held += int(size[new].sum())
+            if held >= BLOCK_GRAMS:
+                yield block
+                block, held = [], 0
+    if block:
+        yield block
+    if left.any():
+        raise parts.Moved
+
+
+def _questions(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(order, bucket, packed): the bigrams to ask for, by bucket; of each ``ASKED_BITS`` bits go beside the bucket, ascending."""
+    bucket = ((code >> np.uint64(24)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+    whole = bucket << np.uint64(ASKED_BITS) | code & np.uint64((1 << ASKED_BITS) - 1)
+    order = np.argsort(whole)
+    whole = whole[order]
+    bucket = (whole >> np.uint64(ASKED_BITS)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    low, high = whole.astype(np.uint16), (whole >> np.uint64(16)).astype(np.uint8)
+    return order, bucket[start], [low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(start.tolist(), [*start[1:].tolist(), len(bucket)])]
+
+
+def _asked(block: list[tuple[np.ndarray, np.ndarray, np.ndarray]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, code): counts of the sample for the bigrams of a block, and the codes of those that it has hardly seen."""
+    code = K.mix(np.concatenate([g for g, _, _ in block]), 17)
+    known = table[slots(code)]
+    return known, code[known < KNOWN]
+
+
+def _ask(owners: tuple, counts: bytes, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(counts), np.uint8)
+        part = TaskContext.get().partitionId()
+        for number, block in enumerate(_blocks(batches, owners)):
+            _, bucket, packed = _questions(_asked(block, table)[1], buckets)
+            one = np.ones(len(bucket), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(one * part, pa.int32()), pa.array(one * number, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "part", "block", "data"])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket; for every bigram 1 if it was asked for once, else 1 and the logarithm of the times."""
+
+    def out(bucket: int, held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        codes = []
+        for _, _, data in held:
+            n = len(data) // 3
+            codes.append(np.frombuffer(data, np.uint16, n).astype(np.uint32) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.uint32) << np.uint32(16))
+        code, back, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        answer = np.minimum(15, 1 + np.ceil(np.log2(times))).astype(np.uint8)[back]
+        ends = np.cumsum([len(c) for c in codes]).tolist()
+        for at in range(0, len(held), 1000):
+            some = range(at, min(at + 1000, len(held)))
+            packed = [zlib.compress(answer[ends[i] - len(codes[i]) : ends[i]].tobytes(), 1) for i in some]
+            part, block = ([held[i][k] for i in some] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int32()), pa.array([bucket] * len(some)), pa.array([zlib.crc32(held[i][2]) for i in some], pa.int64()), pa.array(packed, pa.binary())], names=["part", "block", "bucket", "check", "data"])
+
+    bucket, held = None, []
+    for batch in batches:
+        for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != bucket:
+                if held:
+                    yield from out(bucket, held)
+                bucket, held = number, []
+            held.append(tuple(row))
+    if held:
+        yield from out(bucket, held)
 
 
 #: columns of the rows of a bucket, each packed in two-byte planes, so that what repeats or is 0 takes no room
@@ -176,32 +295,42 @@ def unpack(packed: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _signed(t: float, counts: bytes, buckets: int):
+def _signed(t: float, owners: tuple, answers: tuple, counts: bytes, asked: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(counts), np.uint8)
-        seen = np.zeros(0, np.int64)
+        got = parts.get(answers, TaskContext.get().partitionId(), _ANSWERS).sort_by([("block", "ascending"), ("bucket", "ascending")])
+        numbers = np.asarray(got.column("block"))
         held: list[dict[str, np.ndarray]] = []
 
+        def ranks(number: int, block: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+            known, code = _asked(block, table)
+            order, bucket, packed = _questions(code, asked)
+            a, b = np.searchsorted(numbers, [number, number + 1])
+            rows = got.slice(a, b - a)
+            if rows.column("bucket").to_pylist() != bucket.tolist() or rows.column("check").to_pylist() != [zlib.crc32(p) for p in packed]:
+                raise parts.Moved
+            answer = np.zeros(len(code), np.uint16)
+            answer[order] = np.frombuffer(b"".join(map(zlib.decompress, rows.column("data").to_pylist())), np.uint8)
+            rank = known.astype(np.uint16) + np.uint16(14)
+            rank[known < KNOWN] = answer
+            return rank
+
         def out() -> pa.RecordBatch:
             rows = {c: np.concatenate([h[c] for h in held]) for c in _PACKED}
-            bucket = (rows["key"] >> np.uint64(48)).astype(np.int64) % buckets
+            bucket = (rows["key"] >> np.uint64(48)).astype(np.int64)
+            few = max(1, int(buckets**0.5))  # documents that share bigrams that very many have share many of them: they meet in few buckets
+            bucket = np.where(table[slots(rows["key"])] >= HOT, bucket % few * (buckets // few), bucket % buckets)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = {c: v[order] for c, v in rows.items()}, bucket[order]
             start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             blobs = [pack({c: v[i:j] for c, v in rows.items()}) for i, j in zip(start.tolist(), [*start[1:].tolist(), len(bucket)])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
-        for batch in batches:
-            for a, b in K.slices(batch.column(0)):
-                grams, first = gram_sets(batch.column(0).slice(a, b - a))
-                fp = fingerprints(grams, first)
-                _, once = np.unique(fp, return_index=True)
-                once = np.sort(once[~np.isin(fp[once], seen)])
-                seen = np.union1d(seen, fp[once])
-                take = np.isin(np.arange(len(fp)), once)
-                grams, fp = grams[np.repeat(take, np.diff(first))], fp[once]
-                first = np.concatenate([[0], np.cumsum(np.diff(first)[once])])
-                keys, owner, place, sketch = signatures(grams, first, t, table)
+        for number, block in enumerate(_blocks(batches, owners)):
+            rank, at = ranks(number, block), 0
+            for grams, first, fp in block:
+                keys, owner, place, sketch = signatures(grams, first, t, rank[at : at + len(grams)])
+                at += len(grams)
                 if len(keys):
                     held.append({"key": keys, "before": place[:, 1] & np.uint64(0xFFFFFFFF), "behind": place[:, 2], "fp": fp[owner].view(np.uint64), "sketch": sketch[:, 0], "n": np.diff(first)[owner].astype(np.uint64), "position": place[:, 0]})
                 if sum(len(h["key"]) for h in held) >= HELD_KEYS:
@@ -267,7 +396,7 @@ def _bucket_pairs(rows: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.nd
         step = max(1, PAIRS // c)
         for i in range(0, c - 1, step):
             rows_ = np.arange(i, min(i + step, c))
-            x, y = np.repeat(rows_, c), np.tile(np.arange(c), len(rows_))
+            x, y = np.repeat(rows_, c - i), np.tile(np.arange(i, c), len(rows_))
             ok = x < y
             yield near(s + x[ok], s + y[ok])
 
@@ -379,14 +508,31 @@ def _verify(t: float):
     return run
 
 
-def set_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """Rows (a, b, jaccard): fingerprints of the different sets with an index of at least ``t``, each pair once."""
+def signed(docs: DataFrame, nodes: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """Rows (bucket, rows): keys of the sets, packed. ``docs`` is the scan that ``nodes`` tells the partitions of."""
     texts = docs.select("text").filter("text is not null")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = texts.mapInArrow(_signed(t, sampled_counts(docs), 2 * tasks), "bucket bigint, rows binary")
-    met = signed.repartitionById(tasks, F.expr(f"cast(bucket % {tasks} as int)")).sortWithinPartitions("bucket").mapInArrow(_join(t), "a bigint, b bigint, need bigint, count bigint")
-    enough = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("count").alias("count")).filter("count >= need")
-    pairs = stash(enough.select("a", "b"), "jaccard-pairs")
+    owners = parts.put(nodes.groupBy("fp").agg(F.min("part").alias("part")), "jaccard-owners")
+    counts = sampled_counts(docs)
+    asked = texts.mapInArrow(_ask(owners, counts, 8 * tasks), _ASKED)
+    dealt = asked.repartitionById(tasks, F.expr(f"cast(bucket % {tasks} as int)")).sortWithinPartitions("bucket")
+    answers = parts.put(dealt.mapInArrow(_answer, _ANSWER), "jaccard-answers")
+    return texts.mapInArrow(_signed(t, owners, answers, counts, 8 * tasks, 2 * tasks), "bucket bigint, rows binary")
+
+
+def set_pairs(docs: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, part) of the documents; rows (a, b, jaccard): fingerprints of the different sets with an index of at least ``t``, each pair once."""
+    docs = parts.as_scan(docs.select("doc_id", "text").filter("doc_id is not null"), "jaccard-texts")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        nodes = stash(_nodes(docs), "jaccard-nodes")
+        met = signed(docs, nodes, t).repartitionById(tasks, F.expr(f"cast(bucket % {tasks} as int)")).sortWithinPartitions("bucket").mapInArrow(_join(t), "a bigint, b bigint, need bigint, count bigint")
+        enough = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("count").alias("count")).filter("count >= need")
+        return nodes, stash(enough.select("a", "b"), "jaccard-pairs")
+
+    nodes, pairs = parts.settled(make)
+    texts = docs.select("text").filter("text is not null")
     both = pairs.union(pairs.select("b", "a"))
     near = both.groupBy(F.col("a").alias("fp")).agg(F.least("fp", F.min("b")).alias("label"))
     near = stash(near, "jaccard-near")
@@ -408,11 +554,11 @@ def set_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
 
     found = texts.mapInArrow(with_text, "fp bigint, text string").join(keys, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
     rows = wanted.join(found, "fp").select("tile", F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"), "text").union(tiled.select("tile", "a", "b", F.lit(None).cast("string")))
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(t), "a bigint, b bigint, jaccard double")
+    return nodes, rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(t), "a bigint, b bigint, jaccard double")
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(_sized, "doc_id bigint, fp bigint").distinct()
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(_sized, "doc_id bigint, fp bigint, part int").groupBy("doc_id", "fp").agg(F.min("part").alias("part"))
 
 
 def similar_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -424,10 +570,8 @@ def similar_pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     Rows without doc_id are left out, rows that repeat count once, other
     columns are ignored, an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    nodes = stash(_nodes(docs), "jaccard-nodes")
+    nodes, pairs = set_pairs(docs, t)
     first = stash(nodes.groupBy("fp").agg(F.min("doc_id").alias("doc")), "jaccard-first")
-    pairs = set_pairs(docs, t)
     near = pairs.join(first.select(F.col("fp").alias("a"), F.col("doc").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("doc").alias("y")), "b")
     near = near.filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
     copies = nodes.join(first, "fp").filter("doc_id > doc").select(F.col("doc").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
@@ -447,9 +591,9 @@ def document_classes(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     table gives no rows.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    nodes = stash(_nodes(docs), "jaccard-nodes")
+    nodes, pairs = set_pairs(docs, t)
     sets = stash(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc")), "jaccard-sets")
-    pairs = stash(set_pairs(docs, t), "jaccard-links")
+    pairs = stash(pairs, "jaccard-links")
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     linked = both.join(sets.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     counted = nodes.join(sets.join(linked, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")), "fp")

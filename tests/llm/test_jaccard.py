@@ -170,3 +170,31 @@ def test_pipeline_stage_keeps_one_of_each_pair_at_the_threshold(spark):
     docs = documents(spark, [x for i in range(9000) for x in (f"a{i} b{i} c{i}", f"a{i} b{i} c{i} d{i}")])
     kept = corpus_pipeline.join_near_duplicates(spark, docs, "").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 18_000, 2))
+
+
+def shuffled(spark, since=-1):
+    """(bytes that stages after ``since`` wrote to shuffles, the last stage)."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    new = [s for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() > since]
+    return sum(s.shuffleWriteBytes() for s in new), max([since, *(s.stageId() for s in new)])
+
+
+def test_bigrams_of_one_set_are_not_shuffled_as_keys(spark):
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(300)) for _ in range(1000)]
+    docs = documents(spark, [*texts, *(edited(x, i, 0.05) for i, x in enumerate(texts[:20]))])
+    _, last = shuffled(spark)
+    rows = jaccard.document_classes(docs).collect()
+    assert sum(x["links"] for x in rows) == 40 and len(rows) == 1020
+    assert shuffled(spark, last)[0] < 1.5 * sum(map(len, texts))
+
+
+def test_order_by_counts_loses_no_pair(spark):
+    """Sets that share few bigrams with very many others, of which a scan partition passes on only some."""
+    texts = [x for n in (5, 30, 97) for x in barely(30, n, 1000 * n)] + [edited(prose(5, 120), i, 0.08) for i in range(120)]
+    texts += texts[:40] + ["the of and to in"] * 30
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.document_classes(documents(spark, texts)).collect()}
+    assert got == brute_classes(texts)
