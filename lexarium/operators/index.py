@@ -1,4 +1,4 @@
-"""The full-text index: tables of documents, postings and terms, built in one pass and kept as Parquet.
+"""The full-text index: tables of documents, postings and terms, kept as Parquet.
 
 Saved postings lie in folders by hash of the term and are sorted inside, so the
 terms of a query choose folders and prune row groups; texts stay out of them. A
@@ -9,9 +9,12 @@ single task.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from lexarium.model import DOCS, POSTINGS, TERMS, spread
 
 VERSION = 2
 SALTS = 4
+_BATCH_ROWS = 1 << 16
 
 
 @dataclass
@@ -42,7 +46,7 @@ class FtsIndex:
     terms: DataFrame
     settings: Settings
     buckets: int = 0  # folders of the postings, where they are saved
-    tokens: DataFrame | None = None  # where it is not saved yet
+    tokens: DataFrame | None = None  # (dict_id, doc_id, t) where it is not saved yet
 
     @property
     def built(self) -> bool:
@@ -57,7 +61,7 @@ def build(lex: DataFrame, stop_words: Iterable[str] = (), min_bytes: int = MIN_T
     docs = tokens.select("dict_id", "doc_id", "key", F.size("t").cast("bigint").alias("doc_length"))
     each = tokens.select("dict_id", "doc_id", F.posexplode("t").alias("pos", "term"))
     postings = each.groupBy("dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return FtsIndex(docs, postings, _terms(each.groupBy("dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))), settings, tokens=each)
+    return FtsIndex(docs, postings, _terms(each.groupBy("dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))), settings, tokens=tokens.select("dict_id", "doc_id", "t"))
 
 
 def _terms(counts: DataFrame) -> DataFrame:
@@ -69,21 +73,59 @@ def bucket_of(term: Column, salt: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term) + salt, F.lit(buckets))
 
 
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dict_id, term, doc_id, tf, positions) of documents (dict_id, doc_id, t); those of a batch in order of term and document."""
+    for batch in batches:
+        lists, rows = batch.column("t"), batch.num_rows
+        words = lists.flatten().dictionary_encode()
+        if not len(words):
+            continue
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        by_doc = pc.sort_indices(pa.table({"d": batch.column("dict_id"), "n": batch.column("doc_id")}), [("d", "ascending"), ("n", "ascending")]).to_numpy()
+        by_word = pc.sort_indices(words.dictionary).to_numpy()
+        doc_rank, word_rank = np.empty(rows, np.int64), np.empty(len(by_word), np.int64)
+        doc_rank[by_doc], word_rank[by_word] = np.arange(rows), np.arange(len(by_word))
+        where = word_rank[words.indices.to_numpy()] * rows + np.repeat(doc_rank, sizes)
+        places = np.arange(len(where), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(where, kind="stable")  # so that positions stay in order
+        where = where[order]
+        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        ends = np.r_[starts[1:], len(where)]
+        word, doc = by_word[where[starts] // rows], pa.array(by_doc[where[starts] % rows])
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(where)], pa.int32()), pa.array(places[order], pa.int32()))
+        columns = [batch.column("dict_id").take(doc), words.dictionary.take(pa.array(word)), batch.column("doc_id").take(doc), pa.array(ends - starts, pa.int64()), positions]
+        found = pa.RecordBatch.from_arrays(columns, names=["dict_id", "term", "doc_id", "tf", "positions"])
+        for at in range(0, found.num_rows, _BATCH_ROWS):
+            yield found.slice(at, _BATCH_ROWS)
+
+
+def _postings(index: FtsIndex) -> DataFrame:
+    """The postings of an index that is not saved yet: made document by document, since only numbers that several rows share need them brought together."""
+    twice = index.docs.groupBy("dict_id", "doc_id").count().filter("count > 1").select("dict_id", "doc_id")
+    made = lambda tokens: tokens.mapInArrow(_invert, POSTINGS)
+    if twice.isEmpty():
+        return made(index.tokens)
+    a, b = index.tokens.alias("a"), twice.alias("b")
+    same = F.col("a.dict_id").eqNullSafe(F.col("b.dict_id")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    shared = made(a.join(b, same, "left_semi")).groupBy("dict_id", "term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return made(a.join(b, same, "left_anti")).unionByName(shared)
+
+
 def save(index: FtsIndex, path: str) -> FtsIndex:
-    """Write the index; document lengths and terms are counted from the postings as written, so texts are tokenised once."""
+    """Write the index; terms are counted from the postings as written. A folder of the postings is one task."""
     spark = index.docs.sparkSession
     buckets = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if index.tokens is None:
-        placed = index.postings.withColumn("bucket", bucket_of(F.col("term"), F.pmod(F.col("doc_id"), F.lit(SALTS)), buckets)).repartition(buckets, "bucket")
-    else:
-        each = index.tokens.withColumn("bucket", bucket_of(F.col("term"), F.pmod(F.col("doc_id"), F.lit(SALTS)), buckets)).repartition(buckets, "bucket")
-        placed = each.groupBy("bucket", "dict_id", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = index.postings if index.tokens is None else _postings(index)
+    salt = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS))
+    placed = postings.withColumn("bucket", bucket_of(F.col("term"), salt, buckets)).repartitionById(buckets, F.col("bucket").cast("int"))
     order = ["bucket", "term", "dict_id", "doc_id"]
     placed.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     written = spark.read.schema(f"{POSTINGS}, bucket bigint").parquet(f"{path}/postings")
     _terms(written.select("dict_id", "term", "tf")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    lengths = written.groupBy("dict_id", "doc_id").agg(F.sum("tf").alias("doc_length"))
-    docs = index.docs.select("dict_id", "doc_id", "key").join(lengths, ["dict_id", "doc_id"], "left").withColumn("doc_length", F.coalesce("doc_length", F.lit(0)).cast("bigint"))
+    docs = index.docs
+    if index.tokens is None:
+        lengths = written.groupBy("dict_id", "doc_id").agg(F.sum("tf").alias("doc_length"))
+        docs = docs.select("dict_id", "doc_id", "key").join(lengths, ["dict_id", "doc_id"], "left").withColumn("doc_length", F.coalesce("doc_length", F.lit(0)).cast("bigint"))
     docs.write.mode("overwrite").parquet(f"{path}/docs")
     meta = json.dumps({"version": VERSION, "settings": asdict(index.settings), "buckets": buckets})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
