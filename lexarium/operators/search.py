@@ -16,6 +16,8 @@ from . import index as fts
 from . import lookup
 
 DIGITS = 6
+#: Terms of queries, and with them their weights in each dictionary, that every task may hold.
+BROADCAST_TERMS = 200_000
 
 
 class Kind(Enum):
@@ -61,12 +63,22 @@ def fulltext(index: fts.FtsIndex, query: str, limit: int | None = None) -> DataF
 
 
 def fulltext_many(index: fts.FtsIndex, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Rows (query_id, dict_id, doc_id, key, score, rank): the ``limit`` best documents of every query (query_id, query)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(index.settings.tokens("query"))).alias("term"))
+    """Rows (query_id, dict_id, doc_id, key, score, rank): the ``limit`` best documents of every query (query_id, query).
+
+    Postings of terms that are asked for meet by document, and there each of
+    them meets the queries of its term: so a frequent term is no single task,
+    and what is shuffled does not grow with the queries. Those of more than
+    ``BROADCAST_TERMS`` terms meet the postings as Spark sees fit.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(index.settings.tokens("query"))).alias("term")).distinct()
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
     sizes = index.docs.groupBy("dict_id").agg(F.count(F.lit(1)).alias("n"))
-    weights = index.terms.join(sizes, "dict_id").select("dict_id", "term", (F.log(F.col("n") / (F.col("df") + 1)) + 1).alias("idf"))
-    hits = asked.join(weights, "term").join(index.postings.select("dict_id", "term", "doc_id", "tf"), ["dict_id", "term"])
-    scored = hits.groupBy("query_id", "dict_id", "doc_id").agg(F.round(F.sum(F.col("idf") * (1 + F.log("tf"))), DIGITS).alias("score"))
+    known = index.terms.join(small(asked.select("term").distinct()), "term", "left_semi")
+    weights = known.join(sizes, "dict_id").select("dict_id", "term", (F.log(F.col("n") / (F.col("df") + 1)) + 1).alias("idf"))
+    hits = index.postings.select("dict_id", "term", "doc_id", "tf").join(small(weights), ["dict_id", "term"])
+    hits = hits.select("dict_id", "doc_id", "term", (F.col("idf") * (1 + F.log("tf"))).alias("w")).repartition("dict_id", "doc_id")
+    scored = hits.join(small(asked), "term").groupBy("query_id", "dict_id", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
     best = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "dict_id", "doc_id"))).filter(F.col("rank") <= limit)
     return best.join(index.docs.select("dict_id", "doc_id", "key"), ["dict_id", "doc_id"]).select("query_id", "dict_id", "doc_id", "key", "score", "rank")
 

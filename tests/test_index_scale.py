@@ -57,3 +57,11 @@ def test_saved_postings_equal_those_of_the_plan(spark, tmp_path):
 def test_folders_hold_their_own_terms(odd):
     wrong = odd.postings.filter(F.col("bucket") != fts.bucket_of(F.col("term"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(fts.SALTS)), odd.buckets))
     assert wrong.isEmpty()
+
+
+def test_frequent_terms_of_many_queries_meet_by_document(spark):
+    index = fts.build(lexicon(spark, [("d", i, "alpha " + ("beta" if i == 3 else "gamma delta")) for i in range(9)] + [("e", 3, "beta alpha alpha")]))
+    asked = spark.createDataFrame([(1, "alpha Gamma"), (2, "Beta"), (3, "nothing")], "query_id bigint, query string")
+    found = search.fulltext_many(index, asked, 2)
+    assert "REPARTITION_BY_COL" in plan(found)
+    assert [tuple(r)[:3] for r in found.orderBy("query_id", "rank").collect()] == [(1, "d", 0), (1, "d", 1), (2, "d", 3), (2, "e", 3)]
