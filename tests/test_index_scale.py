@@ -65,3 +65,9 @@ def test_frequent_terms_of_many_queries_meet_by_document(spark):
     found = search.fulltext_many(index, asked, 2)
     assert "REPARTITION_BY_COL" in plan(found)
     assert [tuple(r)[:3] for r in found.orderBy("query_id", "rank").collect()] == [(1, "d", 0), (1, "d", 1), (2, "d", 3), (2, "e", 3)]
+
+
+def test_documents_without_dictionary_are_no_fault(spark, odd):
+    assert {r["problem"]: r["n"] for r in fts.validate(odd).collect()} == dict.fromkeys(("term without postings", "postings without term", "wrong counts", "postings without document"), 0)
+    broken = fts.FtsIndex(odd.docs.filter("doc_id is not null"), odd.postings.filter("term <> 'gamma'"), odd.terms.filter("term <> 'delta'").withColumn("cf", F.when(F.col("term") == "beta", 9).otherwise(F.col("cf"))), odd.settings)
+    assert {r["problem"]: r["n"] for r in fts.validate(broken).collect()} == {"term without postings": 1, "postings without term": 1, "wrong counts": 3, "postings without document": 2}
