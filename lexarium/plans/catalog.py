@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,7 @@ from lexarium.workdir import new_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 QUERY = "worthless pathetic thorreou"
+NATIVE_UTF16 = f"utf-16-{sys.byteorder[0]}e"  # what follows the mark that the codec utf-16 writes
 
 _TOKENS = r"""
 t AS (SELECT lang AS dict_id, doc_id, term FROM (SELECT lang, doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '(\p{L}+|\p{N}+)', 1))) AS term FROM documents) WHERE strlen(term) BETWEEN 3 AND 64),
@@ -437,12 +441,16 @@ def dsl_cards(spark, d):
     lines = customers(spark, d).select("dict_id", "ord", F.concat("key", F.lit("\n\t[m1]"), tagged, F.lit("[/m]\n")).alias("card"))
     folder = new_path(spark, "dsl")
 
-    def put(table: pa.Table) -> pa.Table:
-        path = f"{folder}/{table.column('dict_id')[0].as_py()}.dsl"
-        files.write(path, ('#NAME "cards"\n\n' + "".join(table.sort_by("ord").column("card").to_pylist())).encode("utf-16"))
-        return pa.table({"file": [path]})
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Files are written as their cards come, so that no task holds one."""
+        pieces = ((name, "".join(card for _, card in rows)) for b in batches for name, rows in groupby(zip(b.column("dict_id").to_pylist(), b.column("card").to_pylist()), itemgetter(0)))
+        for name, parts in groupby(pieces, itemgetter(0)):
+            path = f"{folder}/{name}.dsl"
+            files.write_parts(path, chain(['#NAME "cards"\n\n'.encode("utf-16")], (part.encode(NATIVE_UTF16) for _, part in parts)))
+            yield pa.RecordBatch.from_pydict({"file": [path]})
 
-    found = sorted(r["file"] for r in lines.groupBy("dict_id").applyInArrow(put, "file string").collect())  # a row for each dictionary
+    placed = lines.repartition("dict_id").sortWithinPartitions("dict_id", "ord")
+    found = sorted(r["file"] for r in placed.mapInArrow(put, "file string").collect())  # a row for each dictionary
     return lexicon_source.dsl_cards(spark, *found).select("dict_id", "key", "plain", "has_media", "has_transcription", "margin_tags")
 
 

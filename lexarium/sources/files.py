@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow.fs as pafs
 
 from lexarium.errors import NotFound
@@ -50,11 +52,16 @@ def listing(path: str) -> list[str]:
 
 
 def write(path: str, data: bytes) -> None:
+    write_parts(path, [data])
+
+
+def write_parts(path: str, parts: Iterable[bytes]) -> None:
     """Written beside its place and then moved, so that no reader sees a part of it."""
     fs, at = locate(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(at + ".tmp", compression=None) as out:
-        out.write(data)
+        for part in parts:
+            out.write(part)
     fs.move(at + ".tmp", at)
 
 

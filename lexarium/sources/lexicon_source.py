@@ -3,7 +3,8 @@
 A dictionary is shared out by ordinal (by record block for MDict) to as many
 tasks as its bytes ask for, or as the option ``partitions`` tells; a task of a
 StarDict or BGL dictionary reads its own stretch of the index alone, one of DSL
-or MDict decodes the headwords of the whole file. The options ``key``, ``keyPrefix`` and ``dictId`` keep only
+its own stretch of a file that begins with a byte-order mark; any other DSL or
+MDict task decodes the headwords of the whole file. The options ``key``, ``keyPrefix`` and ``dictId`` keep only
 such entries: keys are tested before an entry becomes a row, dictionaries before
 a file is opened. (They are options since Spark 4.1 keeps the filters it pushed
 into a Python source with the relation, so that a second query over the same
@@ -91,6 +92,9 @@ class LexiconReader(DataSourceReader):
                     out.append(Slice(name, kind, dictionary_id(name), 0, _ALL))
                     continue
                 dictionary = open_dictionary(name, kind, self.strict)
+                if hasattr(dictionary, "stretches") and not self.tasks and (cuts := dictionary.stretches(TASK_BYTES)):
+                    out += [Slice(name, kind, dictionary_id(name), w.start, w.end, w) for w in cuts]
+                    continue
                 rows = dictionary.rows()
                 step = max(1, -(-rows // tasks))
                 cuts = dictionary.cuts(step) if hasattr(dictionary, "cuts") else [Window(s, s + step) for s in range(0, rows, step)]
